@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
@@ -46,6 +47,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_text(docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, StructType]:
+    """The columns ``keep`` and, as the last one, ``text`` (once, where it is the last to keep), for functions on batches;
+    and the schema of those kept."""
+    if text in keep:
+        keep.remove(text)
+        keep.append(text)
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+        return rows, StructType(list(rows.schema.fields))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    return rows, StructType(rows.schema.fields[:-1])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

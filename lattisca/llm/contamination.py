@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import table
+from lattisca.llm.common import table, with_text
 
 WINDOW = 10
 #: Characters of items that one automaton takes (about 60 bytes of a worker's memory for each window character). Larger
@@ -108,16 +108,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     lots = list(_batches(benchmark, item, item_text, AUTOMATON_CHARS))
     digests = [hashlib.sha256(repr(lot).encode("utf-8", "surrogatepass")).hexdigest() for lot in lots]
-    keep = keep or []
+    keep = [c for c in keep or [] if c not in (key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")]
     extra = ", spans array<struct<first:long,behind:long>>" if spans else ""
-    carried = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *keep)
-    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[2:])
-    kind = carried.schema["_key"].dataType.simpleString()
+    rows, kept = with_text(docs, text, [key, *keep])
+    keep = kept.fieldNames()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for body in batch.column(1).to_pylist():
+            found: list[tuple] = []
+            for body in batch.column(batch.num_columns - 1).to_pylist():
                 n, runs, names = 0, [], set()
                 for lot, digest in zip(lots, digests, strict=True):
                     n, some, more = _built(lot, digest, window).scan(body)
@@ -131,13 +131,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                             merged.append((a, b))
                     runs = merged
                 digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-                rows.append((n, sum(b - a for a, b in runs), len(names), digest, bool(runs), *([[{"first": a, "behind": b} for a, b in original_spans(body, runs)] if runs else []] if spans else [])))
-            cols = list(zip(*rows, strict=True)) or [[]] * (6 if spans else 5)
+                found.append((n, sum(b - a for a, b in runs), len(names), digest, bool(runs), *([[{"first": a, "behind": b} for a, b in original_spans(body, runs)] if runs else []] if spans else [])))
+            cols = list(zip(*found, strict=True)) or [[]] * (6 if spans else 5)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *([pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))] if spans else [])]
             names_ = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["spans"] if spans else [])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)], *batch.columns[2:]], names=[key, *names_, *keep])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[*keep, *names_])
 
-    return carried.mapInArrow(run, f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{extra}{kinds}")
+    return rows.mapInArrow(run, f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{extra}")
 
 
 def op9_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

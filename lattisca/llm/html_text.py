@@ -10,9 +10,8 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lattisca.llm.common import table
+from lattisca.llm.common import table, with_text
 
 #: Characters below which a block is short, and from which one with many stop words is decided alone.
 SHORT = 70
@@ -222,14 +221,14 @@ def extract_text(pages: DataFrame, page: str = "html", keep: list[str] | None =
     read each; an empty table gives none.
     """
     keep = [c for c in ([c for c in pages.columns if c != page] if keep is None else keep) if c not in ("text", "n_chars")]
-    rows = pages.select(F.col(f"`{page}`").alias("_page"), *[F.col(f"`{c}`") for c in keep])
+    rows, kept = with_text(pages, page, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p.as_py()) for p in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+            texts = [main_text(p.as_py()) for p in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return rows.mapInArrow(run, rows.drop("_page").schema.add("text", "string").add("n_chars", "long"))
+    return rows.mapInArrow(run, kept.add("text", "string").add("n_chars", "long"))
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

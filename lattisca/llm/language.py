@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattisca.llm.common import table
+from lattisca.llm.common import table, with_text
 
 #: The most labelled texts of one language that the machines are fitted on: those with the smallest hash of their id.
 PER_LANGUAGE = 400
@@ -160,14 +160,14 @@ def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text",
     its own answer, repeated or not; an empty table gives none; with nothing to learn from, all is ``und``.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    rows = docs.select(F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    rows, kept = with_text(docs, text, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+            found = [model.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = kept.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)
 
 

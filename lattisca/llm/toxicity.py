@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattisca.llm.common import table
+from lattisca.llm.common import table, with_text
 
 #: The most labelled texts of one label that are learned from: those with the smallest hash of their id.
 PER_LABEL = 2000
@@ -293,14 +293,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     scores; an empty table gives none; without labels the prior weights hold and nothing is a term.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    rows = docs.select(F.col(text).alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    rows, kept = with_text(docs, text, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[*keep, "score", "predicted"])
+            scores = [model.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[*keep, "score", "predicted"])
 
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")
+    schema = kept.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(run, schema)
 
 
