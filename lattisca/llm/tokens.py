@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
 
-#: Pieces whose ids a worker keeps at most; beyond, it starts anew. Speed only: the ids are the same.
-KEPT_PIECES = 800_000
+#: Pieces whose ids a worker keeps, and as many of the time before. Speed only: the ids are the same.
+KEPT_PIECES = 500_000
+
+
+#: How byte-level vocabularies write bytes: printable ones as they are, the others as characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = dict(zip(_PLAIN, _PLAIN, strict=True)) | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
 
 class TextEncoder:
@@ -13,6 +18,7 @@ class TextEncoder:
 
     A text is cut where the tokenizer's own pre-tokenization always cuts: before a single space, and on both sides of a
     single line end, that stand between other characters. A text with any other white space is encoded as one.
+    A piece of letters alone is one pre-token and goes to the tokenizer's model; others go to the whole tokenizer.
     ``spaced`` tells that a space belongs to the word after it (byte-level vocabularies); otherwise white space is dropped.
     """
 
@@ -22,38 +28,53 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.between = "<|endoftext|>"
+        self.tokenize, self.normalizer = self.tokenizer.model.tokenize, self.tokenizer.normalizer
         self.line_end = self._whole("\n") if spaced else b""
-        self.between_id = self.tokenizer.token_to_id(self.between)
-        self.first: dict[str, bytes | None] = {}  # pieces that begin a line; None: the text must be encoded as one
-        self.later: dict[str, bytes | None] = {}  # pieces after a space
-
-    def _learn(self, kept: dict[str, bytes | None], pieces: set[str], before: str) -> None:
-        """Many pieces in one call, with a special token between them, as a call for each costs several times more."""
-        new = list(pieces.difference(kept))
-        for piece in [p for p in new if "<|" in p or p.split() != [p]]:
-            kept[piece] = self._whole(before + piece) if piece.split() == [piece] else None
-        new = [p for p in new if p not in kept]
-        self.tokenizer.encode_special_tokens = False
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            (found,) = self.tokenizer.encode_batch_fast([self.between + self.between.join([before + p for p in some])], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(ids == self.between_id)
-            if len(ends) != len(some):
-                raise ValueError("the tokenizer does not keep its special token apart")
-            raw = ids.tobytes()
-            for piece, i, j in zip(some, (ends * 4 + 4).tolist(), [*(ends[1:] * 4).tolist(), len(raw)], strict=True):
-                kept[piece] = raw[i:j]
-        self.tokenizer.encode_special_tokens = True
+        # Pieces that begin a line, and pieces after a space; None: the text must be encoded as one. Older ones are kept
+        # for another while, so that common pieces stay.
+        self.first: dict[str, bytes | None] = {}
+        self.later: dict[str, bytes | None] = {}
+        self.older: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
+        self.marks = {m: self._whole(m) for m in ".,"}
+
+    def _letters(self, word: str, before: str) -> bytes | None:
+        """The ids of a word of letters alone; None if it is not one."""
+        if self.normalizer is not None:
+            word = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
+        if not word.isalpha():
+            return None
+        written = before + word if word.isascii() else before + word.encode().decode("latin-1").translate(_WRITTEN)
+        return array("I", [t.id for t in self.tokenize(written)]).tobytes()
+
+    def _learn(self, kept: dict[str, bytes | None], old: dict[str, bytes | None], pieces: set[str], before: str) -> None:
+        mark = "\u0120" if before else ""
+        for piece in pieces.difference(kept):
+            if piece in old:
+                kept[piece] = old[piece]
+                continue
+            ids = None
+            if piece.isalpha():
+                ids = self._letters(piece, mark)
+            elif piece[-1:] in self.marks and piece[:-1].isalpha():
+                word = piece[:-1]
+                ids = kept.get(word)
+                if ids is None:
+                    ids = kept[word] = self._letters(word, mark)
+                if ids is not None:
+                    ids += self.marks[piece[-1]]
+                else:
+                    del kept[word]
+            if ids is None and piece.split() == [piece]:
+                ids = self._whole(before + piece)
+            kept[piece] = ids
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none."""
         if len(self.first) + len(self.later) > KEPT_PIECES:
-            self.first, self.later = {}, {}
+            self.older, self.first, self.later = (self.first, self.later), {}, {}
         cut: list[list[list[str]] | None] = []
         heads: set[str] = set()
         rest: set[str] = set()
@@ -66,8 +87,8 @@ class TextEncoder:
                 heads.add(words[0])
                 rest.update(words[1:])
             cut.append(lines)
-        self._learn(self.first, heads, "")
-        self._learn(self.later, rest, " " if self.spaced else "")
+        self._learn(self.first, self.older[0], heads, "")
+        self._learn(self.later, self.older[1], rest, " " if self.spaced else "")
         out, first, later = [], self.first, self.later
         for text, lines in zip(texts, cut, strict=True):
             if lines is None:
