@@ -3,3 +3,4 @@
 
 def load() -> None:
     """Imports the modules that register queries."""
+    from lattisca.plans import analysis_queries, feature_queries, graph_queries  # noqa: F401
