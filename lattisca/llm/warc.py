@@ -267,7 +267,7 @@ class WarcReader(DataSourceReader):
             with fs.open_input_file(f"{place}/{name}") as file:
                 for row in read_records(file, name, name.endswith(".gz"), self.wanted, self.payloads):
                     rows.append(row)
-                    size += 200 + len(row[-1] or b"") * self.payloads
+                    size += 200 + (len(row[-1] or b"") if self.payloads else 0)
                     if size > 4 << 20:
                         yield batch(rows)
                         rows, size = [], 0
