@@ -48,3 +48,34 @@ def circular_layout(nodes: DataFrame) -> DataFrame:
     order = Window.partitionBy("graph").orderBy("pos")
     turn = 2 * 3.141592653589793 * (F.row_number().over(order) - 1) / F.count(F.lit(1)).over(Window.partitionBy("graph"))
     return nodes.withColumn("px", F.cos(turn)).withColumn("py", F.sin(turn))
+
+
+def vector_features(points: DataFrame, keys: list[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """Scalar and vector features of nodes and of nearest-neighbour edges, as vector networks take them.
+
+    Nodes: dihedral and angle to the points around, as sine and cosine, logarithm of the step's length, and unit vectors
+    forward and backward, zeros at a chain's ends. Edges: radial functions of the distance, positional encoding of the
+    steps between, and the unit vector.
+    """
+    from lattisca.functions import geometry as G
+    from lattisca.operators.spatial import knn, neighbours_at
+
+    order = Window.partitionBy(*keys).orderBy("node")
+    at = neighbours_at(points, keys).select("*", *[F.lead(c, 2).over(order).alias(f"m{c}") for c in "xyz"], F.row_number().over(order).alias("rank"))
+    turn = G.dihedral(G.vector("p"), G.vector(), G.vector("n"), G.vector("m"))
+    bend = G.angle(G.vector("p"), G.vector(), G.vector("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    unit = lambda p: F.array(*[zero(x) for x in G.unit(G.minus(G.vector(p), G.vector()))])
+    nodes = at.select(
+        "graph",
+        "node",
+        F.array(zero(F.sin(turn)), zero(F.cos(turn)), zero(F.sin(bend)), zero(F.cos(bend)), zero(F.log(G.length(G.vector(), G.vector("n")) + G.EPS))).alias("scalars"),
+        F.array(unit("n"), unit("p")).alias("vectors"),
+    )
+    ends = at.select("graph", "node", "x", "y", "z", "rank")
+    a = ends.select("graph", F.col("node").alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"], F.col("rank").alias("ra"))
+    b = ends.select("graph", F.col("node").alias("b"), *[F.col(c).alias(f"b{c}") for c in "xyz"], F.col("rank").alias("rb"))
+    pairs = knn(points, k).join(a, ["graph", "a"]).join(b, ["graph", "b"])
+    apart = G.length(G.vector("a"), G.vector("b"))
+    edges = pairs.select("graph", "a", "b", F.array(*G.rbf(apart), *G.positional((F.col("rb") - F.col("ra")).cast("double"))).alias("scalars"), F.array(*G.unit(G.minus(G.vector("b"), G.vector("a")))).alias("vector"))
+    return nodes, edges
