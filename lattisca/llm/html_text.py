@@ -34,9 +34,11 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|textarea|title|iframe|noembed|noframes|xmp|noscript|template"
 DROPPED = frozenset("nav footer aside form button select svg math object head menu dialog canvas audio video map fieldset search".split())
-MARKS = frozenset(
-    "ad ads adv advert advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices alert comment comments disqus reply replies respond sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar related recommended recommendations share sharing social newsletter subscribe subscription signup login popup modal overlay widget pagination pager tags skip copyright legal disclaimer".split()
-)
+ALWAYS = "comment advert adsense sponsor promo cookie consent newsletter subscri disqus gdpr".split()  # beginnings of words
+MARKS = frozenset("ad ads adv reply replies respond share sharing social related recommended recommendations signup login popup modal overlay pagination pager skip copyright disclaimer".split())
+#: Marks that name a place; beside a word of CONTAINERS they describe the layout of what holds the article too.
+PLACES = frozenset("banner notice notices alert sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar widget tags legal".split())
+CONTAINERS = frozenset("main content wrapper wrap container layout page site body article post entry with has no left right".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*[^>]*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S | re.I)
@@ -55,12 +57,18 @@ class Block:
     label: str = ""
 
 
+def _named(words: list[str]) -> bool:
+    if not MARKS.isdisjoint(words) or any(w.startswith(a) for w in words for a in ALWAYS):
+        return True
+    return not PLACES.isdisjoint(words) and CONTAINERS.isdisjoint(words)
+
+
 def _marked(tag: str, attributes: str) -> bool:
     """Whether class, id, role or visibility mark an element as none of the article."""
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            if tag not in ("article", "main", "body", "html") and not MARKS.isdisjoint(_PART.findall(value)):
+            if tag not in ("article", "main", "body", "html") and _named(_PART.findall(value)):
                 return True
         elif name == "role":
             if value in ROLES:

@@ -245,6 +245,7 @@ LONG = "The quick thing is that it was in the house and they had to be with the
         ("<p", ""),
         ("<script>never closed <p>x</p>", ""),
         ("<!-- a > b --><article>Ti.</article>", "Ti."),
+        (f"<div class='layout has-sidebar'><article><div class=entry-header><h1>T</h1></div><p>{LONG}</p><ol class=commentlist><li>{LONG}</ol></article></div>", f"T {LONG.strip()}"),
         ("<article>a < b &#x41;&#66; &unknown;</article>", "a < b AB &unknown;"),
     ],
 )
