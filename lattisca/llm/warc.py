@@ -27,7 +27,7 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 FROM_HEADERS = ("record_type", "record_id", "target_uri", "payload_digest", "refers_to", "page_id")
 DATE = "2020-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: A task takes whole files up to so many bytes.
 PARTITION_BYTES = 64 << 20
 
@@ -318,6 +318,6 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), path)
+    write_warc(table(spark, sf_dir, "pages"), path, compression="gzip")
     back = read_warc(spark, path, payload=True)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", F.regexp_extract("refers_to", r"(-?\d+)>", 1).cast("long").alias("refers_to"))
