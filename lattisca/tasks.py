@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattisca.functions.encoders import FeaturesComputer
+from lattisca.functions.encoders import BoolEncoder, FeaturesComputer, MultiHotEncoder, OneHotEncoder
 from lattisca.model import GraphCollection
 from lattisca.operators import filters as L
+from lattisca.operators import labels as B
 from lattisca.operators import metrics as K
 from lattisca.operators import partition as P
 from lattisca.operators import similarity as M
@@ -142,7 +143,56 @@ def inverse_folding(collection: GraphCollection) -> Task:
     return Task("rna_if", collection, [by_components, sized(15, 300), without_redundancy(0.9)], FeaturesComputer(targets=["nt_code"]))
 
 
-TASKS: dict[str, Callable[[GraphCollection], Task]] = {"rna_cm": chemical_modification, "rna_prot": protein_binding, "rna_if": inverse_folding}
+def binding_site(collection: GraphCollection, limits: tuple[int, int] = (15, 500), most_protein: float = 10.0) -> Task:
+    """Parts whose residues have little protein around them on average, with at least one bound residue."""
+
+    def little_protein(c: GraphCollection) -> GraphCollection:
+        return c.keep(L.by_aggregate(c.nodes, F.avg("protein_content"), F.col("agg") < most_protein))
+
+    f = FeaturesComputer(features=["nt_code"], targets=["binding_site"], custom={"binding_site": BoolEncoder()})
+    return Task("rna_site", collection, [by_components, little_protein, sized(*limits), with_residues(F.col("binding_site")), without_redundancy(0.9)], f)
+
+
+def fixed_split(task: Task, train: list[str], val: list[str], test: list[str]) -> DataFrame:
+    """A task's rows with a published split in place of its own."""
+    c = task.process()
+    rows = [(n, s) for s, names in zip(X.SPLITS, (train, val, test), strict=True) for n in names]
+    lists = c.graphs.sparkSession.createDataFrame(rows, "graph string, split string")
+    return task.features.compute(c.nodes if task.level == "nodes" else c.graphs).join(lists, "graph")
+
+
+def family_terms(collection: GraphCollection, slices: DataFrame, terms: DataFrame, more_than: int = 50, less_than: int = 1000) -> Task:
+    """Slices of chains (graph, chain, first, last, family) with the terms of their family (family, term) that are neither
+    rare, frequent nor correlated, as labels of whole graphs."""
+    nodes = P.ordinal_slice(collection.nodes, slices.select("graph", "chain", "first", "last"))
+    c = collection.keep_nodes(nodes)
+    c = c.keep(L.by_size(c.nodes, 4)).keep(c.edges.groupBy("graph").agg(F.count(F.lit(1)).alias("n")).where("n >= 5"))
+    members = slices.join(terms, "family").select(F.col("graph").alias("id"), "term").distinct()
+    kept = B.uncorrelated(members.join(B.frequent(members, more_than, less_than).select("term"), "term", "left_semi"))
+    names = [r.term for r in kept.select("term").distinct().orderBy("term").limit(10_000).collect()]  # cut by count before
+    labels = kept.groupBy(F.col("id").alias("graph")).agg(F.array_sort(F.collect_set("term")).alias("go_terms"))
+    f = FeaturesComputer(targets=["go_terms"], custom={"go_terms": MultiHotEncoder({t: i for i, t in enumerate(names)})})
+    return Task("rna_go", GraphCollection(c.graphs.join(labels, "graph"), c.nodes, c.edges), [], f, level="graphs")
+
+
+def ligand_identity(collection: GraphCollection, pockets: DataFrame, admissible: list[str], limits: tuple[int, int] = (15, 500)) -> Task:
+    """Pockets (graph, part, node, ligand) as graphs, labelled with their ligand where it is admissible."""
+    c = collection.partition(pockets.select("graph", "node", "part"))
+    name = F.concat_ws("_", F.col("graph").cast("string"), F.col("part").cast("string"))
+    labels = pockets.where(F.col("ligand").isin(admissible)).groupBy(name.alias("graph")).agg(F.min("ligand").alias("ligand"))
+    c = GraphCollection(c.graphs.join(labels, "graph"), c.nodes, c.edges)
+    f = FeaturesComputer(targets=["ligand"], custom={"ligand": OneHotEncoder({x: i for i, x in enumerate(admissible)})})
+    return Task("rna_ligand", c, [lambda x: x.keep(x.graphs), sized(*limits)], f, level="graphs")
+
+
+def virtual_screen(scores: DataFrame, least: int = 10) -> DataFrame:
+    """The mean over pockets of the area under the curve of (pocket, score, label); small and one-sided pockets are left out."""
+    sized_ = scores.groupBy("pocket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("pocket")
+    each = K.roc_auc(scores, "label", "score", ["pocket"]).join(sized_, "pocket", "left_semi").where("auc is not null")
+    return each.agg(F.avg("auc").alias("auc"), F.count(F.lit(1)).alias("pockets"))
+
+
+TASKS: dict[str, Callable[[GraphCollection], Task]] = {"rna_cm": chemical_modification, "rna_prot": protein_binding, "rna_site": binding_site, "rna_if": inverse_folding}
 
 
 def get_task(name: str, collection: GraphCollection) -> Task:
