@@ -9,14 +9,14 @@ pairs that could still join two components leave it, so a group of copies costs
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import durable, table
+from lattisca.llm.common import durable, hold, table
 
 TREES = 16
 DEPTH = 8
@@ -29,7 +29,9 @@ SMALL = 24
 MAYBE, SURE = 0.70, 0.92
 NEIGHBOURS = 3
 HUBS = 3
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
+#: Ids of candidates that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_240_229)
@@ -75,6 +77,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dup", _WORDS.clear)
         for batch in batches:
             sizes, first, second, sigs, briefs = [], [], [], [], []
             for t in batch.column(1):
@@ -94,41 +97,52 @@ def _signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 def _regions(reps: DataFrame) -> DataFrame:
     """Rows (region, place, id, brief): each document once in each tree in which its prefix is shared, ordered by place."""
+    def prefix(values: int) -> Column:
+        return F.xxhash64("t", F.substring("sig", F.col("t") * (4 * DEPTH) + 1, F.lit(4 * values)))
+
+    # Narrow rows find out which prefixes are shared at all; signatures then go to the members of those alone.
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
-    at = F.col("t") * (4 * DEPTH) + 1
-    keys = [F.xxhash64("t", F.substring("sig", at, F.lit(4 * d))).alias(f"p{d}") for d in PREFIXES]
-    rows = reps.select("id", "sig", tree).select("id", F.substring("sig", at, F.lit(4 * DEPTH)).alias("place"), *keys)
+    rows = reps.select("id", "sig", tree).select("id", "t", prefix(PREFIXES[0]).alias(f"p{PREFIXES[0]}"))
     shared = rows.groupBy(f"p{PREFIXES[0]}").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = rows.join(shared, f"p{PREFIXES[0]}").withColumn("region", F.when(F.col("m") <= REGION, F.col(f"p{PREFIXES[0]}")))
+    found = rows.join(shared.where(F.col("m") <= REGION), f"p{PREFIXES[0]}").select("id", "t", F.col(f"p{PREFIXES[0]}").alias("region"))
+    # Crowded prefixes, mostly none, are read deeper until they are small enough.
+    deep = rows.join(shared.where(F.col("m") > REGION), f"p{PREFIXES[0]}").select("id", "t").join(reps.select("id", "sig"), "id")
+    deep = deep.select("id", "t", *[prefix(d).alias(f"p{d}") for d in PREFIXES[1:]], F.lit(None).cast("long").alias("region"))
     for d in PREFIXES[1:]:
-        deeper = met.where(F.col("region").isNull()).groupBy(f"p{d}").agg(F.count(F.lit(1)).alias(f"m{d}"))
-        met = met.join(deeper, f"p{d}", "left").withColumn("region", F.coalesce("region", F.when(F.col(f"m{d}") <= REGION, F.col(f"p{d}"))))
+        counts = deep.where(F.col("region").isNull()).groupBy(f"p{d}").agg(F.count(F.lit(1)).alias(f"m{d}"))
+        deep = deep.join(counts, f"p{d}", "left").withColumn("region", F.coalesce("region", F.when(F.col(f"m{d}") <= REGION, F.col(f"p{d}"))))
     last = PREFIXES[-1]
     # Still too many alike to the last value: cut by chance, in each tree in another way.
     part = F.pmod(F.xxhash64("id", f"p{last}"), F.ceil(F.col(f"m{last}") / REGION))
-    met = met.withColumn("region", F.coalesce("region", F.xxhash64(f"p{last}", part)))
-    return met.select("region", "place", "id").join(reps.select("id", "brief"), "id")
+    deep = deep.select("id", "t", F.coalesce("region", F.xxhash64(f"p{last}", part)).alias("region"))
+    place = F.substring("sig", F.col("t") * (4 * DEPTH) + 1, F.lit(4 * DEPTH))
+    return found.union(deep).join(reps.select("id", "sig", "brief"), "id").select("region", place.alias("place"), "id", "brief")
+
+
+def _pairs_between(brief: np.ndarray, comp: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and estimated similarity, the most alike first, of pairs that may be linked (of different components only)."""
+    one, two, est = [], [], []
+    for i in range(0, len(brief), 128):
+        same = (brief[i : i + 128, None, :] == brief[None, :, :]).sum(2, dtype=np.int16)
+        alike = same >= MAYBE * brief.shape[1]
+        if comp is not None:
+            alike &= comp[i : i + 128, None] != comp[None, :]
+        a, b = np.nonzero(alike)
+        up = b > a + i
+        one.append(a[up] + i)
+        two.append(b[up])
+        est.append(same[a[up], b[up]])
+    one, two, est = np.concatenate(one), np.concatenate(two), np.concatenate(est) / brief.shape[1]
+    order = np.argsort(-est, kind="stable")
+    return one[order], two[order], est[order]
 
 
 def _candidates_of(ids: np.ndarray, brief: np.ndarray, comp: np.ndarray | None) -> list[tuple[int, int]]:
     """Pairs of a region to confirm. First time (no ``comp``): a spanning forest of those that seem alike, and all that are
     in doubt. Later: those alike enough between different components."""
     m = len(ids)
-    if comp is not None and (comp == comp[0]).all():
-        return []
     if m <= SMALL or comp is not None:
-        one, two, est = [], [], []
-        for i in range(0, m, 128):
-            same = (brief[i : i + 128, None, :] == brief[None, :, :]).sum(2, dtype=np.int16)
-            alike = same >= MAYBE * brief.shape[1]
-            if comp is not None:
-                alike &= comp[i : i + 128, None] != comp[None, :]
-            a, b = np.nonzero(alike)
-            up = b > a + i
-            one.append(a[up] + i)
-            two.append(b[up])
-            est.append(same[a[up], b[up]])
-        one, two, est = np.concatenate(one), np.concatenate(two), np.concatenate(est) / brief.shape[1]
+        one, two, est = _pairs_between(brief, comp)
     else:
         major = np.array([np.bincount(brief[:, k], minlength=256).argmax() for k in range(brief.shape[1])], np.uint8)
         hubs = np.argsort(-(brief == major).sum(1), kind="stable")[:HUBS]
@@ -160,24 +174,19 @@ def _candidates_of(ids: np.ndarray, brief: np.ndarray, comp: np.ndarray | None)
     return out
 
 
-def _candidates(regions: DataFrame, with_comp: bool) -> DataFrame:
-    names = ["region", "place", "id", "brief"] + ["comp"] * with_comp
-    dealt = regions.select(*names).repartition("region").sortWithinPartitions("region", "place", "id")
+def _by_region(dealt: DataFrame, of: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """Pairs (a, b) that ``of`` finds in each region. Rows come dealt out and sorted by region; one region is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def pairs(table_: pa.Table) -> pa.RecordBatch:
-            region = table_.column("region").to_numpy()
-            ids = table_.column("id").to_numpy()
-            brief = np.frombuffer(b"".join(table_.column("brief").to_pylist()), np.uint8).reshape(len(ids), -1)
-            comp = table_.column("comp").to_numpy() if with_comp else None
-            cuts = np.flatnonzero(np.diff(region)) + 1
-            out = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                if b - a > 1:
-                    out += _candidates_of(ids[a:b], brief[a:b], None if comp is None else comp[a:b])
-            low, high = zip(*set(out), strict=True) if out else ((), ())
+        def pairs(rows: pa.Table) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.diff(rows.column("region").to_numpy())) + 1
+            out: set[tuple[int, int]] = set()
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.num_rows], strict=True):
+                if j - i > 1:
+                    out.update(of(rows.slice(i, j - i)))
+            low, high = zip(*out, strict=True) if out else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -198,32 +207,73 @@ def _candidates(regions: DataFrame, with_comp: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _brief(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+
+
+def _candidates(regions: DataFrame, with_comp: bool) -> DataFrame:
+    dealt = regions.select("region", "place", "id", "brief", *["comp"] * with_comp).repartition("region").sortWithinPartitions("region", "place", "id")
+    return _by_region(dealt, lambda rows: _candidates_of(rows.column("id").to_numpy(), _brief(rows), rows.column("comp").to_numpy() if with_comp else None))
+
+
+def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    short, long = (p, q) if len(p) < len(q) else (q, p)
+    if not len(short) or 100 * len(short) < percent * len(long):
+        return False
+    at = np.searchsorted(long, short)
+    at[at == len(long)] = 0
+    inter = int((long[at] == short).sum())
+    return 100 * inter >= percent * (len(p) + len(q) - inter)
+
+
+def _joining_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Of a crowded region, links between different components, confirmed here on the full sets: only what joins two
+    components leaves, never the pairs that were looked at."""
+    ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
+    sets = [np.frombuffer(s, np.uint64) for s in rows.column("s").to_pylist()]
+    pairs = _pairs_between(_brief(rows), comp)
+    parent = {int(c): int(c) for c in set(comp.tolist())}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*pairs[:2], strict=True):
+        x, y = find(int(comp[i])), find(int(comp[j]))
+        if x != y and _linked(sets[i], sets[j], percent):
+            parent[x] = y
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
+def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(id, s): the full sets of the documents with these ids, sorted, as bytes."""
+    ids = durable(ids)
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     needed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dup", _WORDS.clear)
         for batch in batches:
             found = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "s"])
 
-    whole = durable(needed.mapInArrow(sets, "id long, s binary"))
+    return durable(needed.mapInArrow(sets, "id long, s binary"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    whole = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, key, text, words)
     both = pairs.join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                short, long = (p, q) if len(p) < len(q) else (q, p)
-                if 100 * len(short) < percent * len(long) or not len(short):
-                    ok.append(False)
-                    continue
-                at = np.searchsorted(long, short)
-                at[at == len(long)] = 0
-                inter = int((long[at] == short).sum())
-                ok.append(100 * inter >= percent * (len(p) + len(q) - inter))
+            ok = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
@@ -260,16 +310,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     signed = durable(_signed(docs, key, text, words))
     filled = signed.where("n > 0 and id is not null")
     classes = filled.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    reps = filled.join(classes, (filled.k1 == classes.k1) & (filled.k2 == classes.k2) & (filled.id == classes.rep), "left_semi").select("id", "sig", "brief").dropDuplicates(["id", "sig"])
+    # Joined by id alone: what follows is dealt by id too, and signatures are shuffled once.
+    owners = classes.select(F.col("rep").alias("id"), F.col("k1").alias("c1"), F.col("k2").alias("c2"))
+    reps = filled.join(owners, "id").where("k1 = c1 and k2 = c2").select("id", "sig", "brief").distinct()
     regions = durable(_regions(reps))
     first = durable(_candidates(regions, False))
     links = durable(_confirmed(first, docs, key, text, words, percent))
     comp = components(links)
     # Regions that still hold several components: what could join them and was not looked at before.
     labelled = regions.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = labelled.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("region")
-    second = durable(_candidates(labelled.join(mixed, "region", "left_semi"), True).join(first, ["a", "b"], "left_anti"))
-    more = _confirmed(second, docs, key, text, words, percent)
+    mixed = labelled.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y").select("region", "m")
+    second = durable(_candidates(labelled.join(mixed.where(F.col("m") <= SMALL), "region", "left_semi"), True).join(first, ["a", "b"], "left_anti"))
+    more = links.limit(0) if second.isEmpty() else _confirmed(second, docs, key, text, words, percent)
+    crowded = durable(labelled.join(mixed.where(F.col("m") > SMALL), "region", "left_semi"))
+    if not crowded.isEmpty():
+        full = crowded.join(_sets(crowded.select("id").distinct(), docs, key, text, words), "id")
+        dealt = full.select("region", "place", "id", "brief", "comp", "s").repartition("region").sortWithinPartitions("region", "place", "id")
+        more = more.union(_by_region(dealt, lambda rows: _joining_links(rows, percent)))
     comp = components(comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more))
     # Classes by their representative's component, documents by their class.
     named = classes.join(comp, classes.rep == comp.id, "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
