@@ -178,6 +178,21 @@ def test_near_duplicates_against_brute_force(spark, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_crowded_regions_are_read_deeper(spark, monkeypatch):
+    """With regions of at most 40 documents, the prefixes of 150 copies must be read to six and eight values."""
+    monkeypatch.setattr(near_dup, "REGION", 40)
+    rng = random.Random(12)
+    base, texts = words(rng, 200, 5000).split(), []
+    for n in range(150):
+        copy = list(base)
+        for k in rng.sample(range(200), rng.randrange(0, 6)):
+            copy[k] = f"y{n}{k}"
+        texts.append(" ".join(copy))
+    texts += [words(rng, 50) for _ in range(20)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, texts), words=2).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 2, 80).items()}
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     found = near_dup.near_duplicates(odd).collect()
     assert len(found) == odd.count()
