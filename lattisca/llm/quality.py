@@ -15,7 +15,7 @@ WINDOW = 8
 LINE_WORDS = 3
 MAX_DOCS = 20
 MAX_PER_THOUSAND = 2
-LEFT_PERCENT = 50
+LEFT_PERCENT = 30
 
 
 def _words(text: Column) -> Column:

@@ -350,7 +350,7 @@ def brute_quality(rows):
         often = lambda x: sum(x in s for s in mine)
         gone = sum(len(x.split(" ")) for x in map(norm, t.split("\n")) if len(x.split(" ")) >= quality.LINE_WORDS and often(x) > quality.MAX_DOCS and often(x) * 1000 > len(mine) * quality.MAX_PER_THOUSAND)
         failed = len(w) < 20 or 100 * len(rep) > 30 * len(w)
-        out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), failed, not failed and 100 * (len(w) - gone) >= 50 * len(w), gone))
+        out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep), failed, not failed and 100 * (len(w) - gone) >= quality.LEFT_PERCENT * len(w), gone))
     return sorted(out, key=repr)
 
 
