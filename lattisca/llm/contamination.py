@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import table, with_text
+from lattisca.llm.common import hold, table, with_text
 
 WINDOW = 10
 #: Characters of items that one automaton takes (about 60 bytes of a worker's memory for each window character). Larger
@@ -80,8 +80,8 @@ _BUILT: dict[tuple[str, int], Contamination] = {}
 
 
 def _built(items: list[tuple[str, str]], digest: str, window: int) -> Contamination:
+    hold("contamination", _BUILT.clear)
     if (digest, window) not in _BUILT:
-        _BUILT.clear()
         _BUILT[digest, window] = Contamination(items, window)
     return _BUILT[digest, window]
 
@@ -116,22 +116,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bodies = batch.column(batch.num_columns - 1).to_pylist()
+            counts, all_runs, all_names = [0] * len(bodies), [[] for _ in bodies], [set() for _ in bodies]
+            for lot, lot_digest in zip(lots, digests, strict=True):  # an automaton is built once for a whole batch
+                automaton = _built(lot, lot_digest, window)
+                for i, body in enumerate(bodies):
+                    counts[i], runs, names = automaton.scan(body)
+                    all_runs[i] += runs
+                    all_names[i] |= names
             found: list[tuple] = []
-            for body in batch.column(batch.num_columns - 1).to_pylist():
-                n, runs, names = 0, [], set()
-                for lot, digest in zip(lots, digests, strict=True):
-                    n, some, more = _built(lot, digest, window).scan(body)
-                    runs, names = runs + some, names | more
-                if len(lots) > 1:
-                    merged: list[tuple[int, int]] = []
-                    for a, b in sorted(runs):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                        else:
-                            merged.append((a, b))
-                    runs = merged
+            for body, n, runs, names in zip(bodies, counts, all_runs, all_names, strict=True):
+                merged: list[tuple[int, int]] = []
+                for a, b in sorted(runs):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+                    else:
+                        merged.append((a, b))
                 digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-                found.append((n, sum(b - a for a, b in runs), len(names), digest, bool(runs), *([[{"first": a, "behind": b} for a, b in original_spans(body, runs)] if runs else []] if spans else [])))
+                places = [[{"first": a, "behind": b} for a, b in original_spans(body, merged)] if merged else []] if spans else []
+                found.append((n, sum(b - a for a, b in merged), len(names), digest, bool(merged), *places))
             cols = list(zip(*found, strict=True)) or [[]] * (6 if spans else 5)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *([pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))] if spans else [])]
             names_ = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["spans"] if spans else [])]
