@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,17 @@ def with_text(docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, S
     return rows, StructType(rows.schema.fields[:-1])
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """A worker process outlives its tasks, and so does what operators keep in it. One operator's things stay at a time:
+    when another comes, ``drop`` of those before is called."""
+    for name in [n for n in _HELD if n != owner]:
+        _HELD.pop(name)()
+    _HELD.setdefault(owner, drop)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

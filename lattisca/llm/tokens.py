@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from array import array
 
+from lattisca.llm.common import hold
+
 #: Pieces whose ids a worker keeps, and as many of the time before. Speed only: the ids are the same.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 400_000
 
 
 #: How byte-level vocabularies write bytes: printable ones as they are, the others as characters from 256 on.
@@ -106,6 +108,7 @@ _ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 def encoder(path: str, spaced: bool) -> TextEncoder:
     """One per worker process."""
+    hold("tokens", _ENCODERS.clear)
     if (path, spaced) not in _ENCODERS:
         _ENCODERS[path, spaced] = TextEncoder(path, spaced)
     return _ENCODERS[path, spaced]

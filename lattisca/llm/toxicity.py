@@ -23,7 +23,7 @@ PER_LABEL = 2000
 #: Words on either side of a hit that its score looks at.
 CONTEXT = 6
 #: Distinct words whose verdict a worker keeps; beyond, it starts anew. Speed only.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 #: A term's or stem's share among toxic texts must be so many times that among others.
 MIN_RATIO = 15.0
 
