@@ -71,6 +71,20 @@ def hold(owner: str, drop: Callable[[], None]) -> None:
     _HELD.setdefault(owner, drop)
 
 
+def hash_unit(key: Column) -> Column:
+    """From 0 to 1, by the key alone."""
+    return F.shiftrightunsigned(F.xxhash64(key), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def smallest_hashes(rows: DataFrame, key: str, kind: str, most: int) -> Column:
+    """A condition that keeps about half as many again as ``most`` rows of each ``kind``, those with the smallest hashes of ``key``; few rows
+    are all kept. Kinds are labels, so their counts are few; no kind is gathered in a task of its own."""
+    out = F.lit(False)
+    for value, n in rows.groupBy(kind).count().collect():
+        out = out | ((F.col(kind) == F.lit(value)) & (hash_unit(F.col(key)) < F.lit(min(2.0, 1.5 * most / n + 1e-9))))
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lattisca.llm.common import table, with_text
+from lattisca.llm.common import hash_unit, smallest_hashes, table, with_text
 
 #: The most labelled texts of one language that the machines are fitted on: those with the smallest hash of their id.
 PER_LANGUAGE = 400
@@ -145,12 +144,17 @@ def held_out(key: Column) -> Column:
 
 
 def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Fits on at most ``per_language`` texts of each language, none of them held out. Ids are chosen first, without texts."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    ids = known.select(F.col(key).alias("_k"), F.col(lang).alias("_l")).withColumn("_h", F.xxhash64("_k"))
-    ids = ids.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_k"))).where(F.col("_n") <= per_language).select("_k").distinct()
-    rows = known.select(F.col(key).alias("_k"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(ids), "_k").orderBy("l", F.xxhash64("_k")).limit(per_language * 200).collect()
-    return LanguageModel.fit([r.t for r in rows], [r.l for r in rows])
+    """Fits on at most ``per_language`` texts of each language, none of them held out: those with the smallest hash of their id."""
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("_k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    some = known.where(smallest_hashes(known, "_k", "l", per_language)).select("t", "l", hash_unit(F.col("_k")).alias("h")).collect()
+    taken: dict[str, int] = {}
+    texts, languages = [], []
+    for r in sorted(some, key=lambda r: (r.h, r.t)):
+        taken[r.l] = taken.get(r.l, 0) + 1
+        if taken[r.l] <= per_language:
+            texts.append(r.t)
+            languages.append(r.l)
+    return LanguageModel.fit(texts, languages)
 
 
 def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -14,9 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lattisca.llm.common import table, with_text
+from lattisca.llm.common import hash_unit, smallest_hashes, table, with_text
 
 #: The most labelled texts of one label that are learned from: those with the smallest hash of their id.
 PER_LABEL = 2000
@@ -279,11 +278,19 @@ def held_out(key: Column) -> Column:
 
 
 def fit_toxicity_model(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
-    """Learns from at most ``per_label`` texts of each label, none of them held out. Ids are chosen first, without texts."""
+    """Learns from at most ``per_label`` texts of each label, none of them held out: those with the smallest hash of their id, chosen before texts are read."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("y"))
-    ids = known.withColumn("_n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("_k"), "_k"))).where(F.col("_n") <= per_label).select("_k", "y")
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("t")).join(F.broadcast(ids), "_k").orderBy(F.xxhash64("_k"), "_k").limit(2 * per_label).collect()
-    return ToxicityModel.fit([r.t for r in rows], [int(r.y) for r in rows])
+    ids = known.where(smallest_hashes(known, "_k", "y", per_label)).select("_k", "y")
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("t")).join(F.broadcast(ids), "_k")  # about 3 * per_label ids
+    some = rows.select("t", "y", hash_unit(F.col("_k")).alias("h")).collect()
+    taken = [0, 0]
+    texts, labels_ = [], []
+    for r in sorted(some, key=lambda r: (r.h, r.t)):
+        taken[r.y] += 1
+        if taken[r.y] <= per_label:
+            texts.append(r.t)
+            labels_.append(int(r.y))
+    return ToxicityModel.fit(texts, labels_)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
