@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattisca.constants import IONS, LIGAND_ELEMENTS, LIGAND_MASS
+from lattisca.operators.filters import ligand_class
 from lattisca.operators.spatial import radius_join
 from lattisca.sources.structures import AMINO, PHOSPHATE, STANDARD, node_id
 
@@ -41,6 +43,16 @@ def small_molecule_neighbours(atoms: DataFrame, molecules: DataFrame, radii: lis
     return rows.groupBy("graph", "node").agg(*[best(kind, r) for r in radii for kind in ("ligand", "ion")])
 
 
+def classify_molecules(atoms: DataFrame, components: DataFrame, mass: tuple[float, float] = LIGAND_MASS, additional: list[str] | None = None, disallowed: list[str] | None = None) -> DataFrame:
+    """(comp, class): which hetero residues are ions and which are ligands. Water and residues that link into chains are
+    neither; a ligand has a mass within the limits, carbon, and allowed elements alone, whatever their case."""
+    allowed = [e.upper() for e in [*LIGAND_ELEMENTS, *(additional or [])] if e not in (disallowed or [])]
+    held = atoms.where("group = 'HETATM'").groupBy("comp").agg(F.collect_set(F.upper("element")).alias("elements"))
+    free = components.where("id <> 'HOH'").where(~F.upper("type").isin("RNA LINKING", "DNA LINKING")).select(F.col("id").alias("comp"), "weight").dropDuplicates(["comp"])
+    named = held.join(free, "comp").withColumn("class", ligand_class(F.col("comp"), F.col("weight"), F.col("elements"), allowed, mass[0], mass[1], IONS))
+    return named.where("class is not null").select("comp", "class")
+
+
 def atom_coordinates(atoms: DataFrame, names: list[str]) -> DataFrame:
     """(graph, node, xyz_<atom> ...): null where a residue lacks the atom."""
     at = lambda n: F.first(F.when(F.col("atom") == n, F.array("x", "y", "z")), ignorenulls=True).alias(f"xyz_{n}")

@@ -96,10 +96,6 @@ def has_noncanonical(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph").agg(F.bool_or(~is_canonical(F.col("label"))).alias("has_nc"))
 
 
-# Distances between base-pair geometries, by the undirected label's edges; similarity is exp(-distance / 8).
-GEOMETRIES = ("CWW", "TWW", "CHW", "THW", "CSW", "TSW", "CHH", "THH", "CHS", "THS", "CSS", "TSS")
-
-
 def isostericity(one: Column, two: Column, distance: Column) -> Column:
     """1 for equal labels, 0.2 for the two directions of the backbone, 0 for backbone against a pair, else by distance."""
     bb1, bb2 = one.isin(*BACKBONE), two.isin(*BACKBONE)

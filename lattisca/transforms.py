@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattisca.constants import RIBOSOMAL
 from lattisca.model import GraphCollection
 from lattisca.operators import edges as E
 from lattisca.operators import filters as L
@@ -22,9 +23,6 @@ from lattisca.operators import traverse as T
 
 Checker = Callable[[Column], Column]
 
-# Words that mark ribosomal structures.
-RIBOSOMAL = ("ribosomal", "rRNA", "50S", "30S", "60S", "40S", "ribosome")
-
 
 def python_checker(f: Callable[[object], bool]) -> Checker:
     """A plain function of one value, run in Arrow batches."""
@@ -215,7 +213,7 @@ class PartitionFromDict(Transform):
 
 @dataclass
 class Chop(Transform):
-    """Pieces of at most ``max_size`` residues by principal axes; then one-hop gaps are filled, dangling ends trimmed, and
+    """Pieces of at most ``max_size`` residues by principal axes; then dangling ends are trimmed, and
     parts below ``least`` residues or without a pair that isn't canonical left out."""
 
     max_size: int = 50

@@ -49,6 +49,12 @@ def test_neighbours_of_residues(spark):
     assert got == {"1a.A.0": (None, "MG"), "1a.A.2": ("LIG", None)}
 
 
+def test_molecules_by_class(spark):
+    atoms = spark.createDataFrame([("HETATM", c, e) for c, e in [("LIG", "C"), ("LIG", "Cl"), ("MG", "Mg"), ("HOH", "O"), ("BIG", "C"), ("HGX", "C"), ("HGX", "Hg"), ("PSU", "C")]], "group string, comp string, element string")
+    parts = spark.createDataFrame([("LIG", "non-polymer", 300.0), ("MG", "non-polymer", 24.3), ("HOH", "non-polymer", 18.0), ("BIG", "non-polymer", 2000.0), ("HGX", "non-polymer", 400.0), ("PSU", "RNA linking", 324.2)], "id string, type string, weight double")
+    assert {(r.comp, r["class"]) for r in annotate.classify_molecules(atoms, parts).collect()} == {("LIG", "ligand"), ("MG", "ion")}
+
+
 def test_vector_features(spark):
     points = spark.createDataFrame([("g", i, float(i), float(i * i), 0.0) for i in range(6)], "graph string, node int, x double, y double, z double")
     nodes, edges = represent.vector_features(points, ["graph"], 2)
