@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "size_filter"
+FLAGSHIP = "filtered_sequences"
 _FOUND: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lattisca.catalog import query
 from lattisca.operators import edges as E
+from lattisca.operators import filters as L
 from lattisca.operators import sequence as Q
 from lattisca.operators import similarity as M
 from lattisca.operators import split as X
@@ -179,6 +180,16 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
     return Q.sequences(A.event_nodes(spark, d), ["graph", "chain"], letter, 2, 2)
 
 
+@query(f"""{RUNS} SELECT graph, chain, run, first, last, n, seq FROM s WHERE n > 1 AND graph IN
+(SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 15 AND count(*) FILTER (event_type = 'error') >= 1)""")
+def filtered_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of the graphs that are large enough and hold an error: filters are counted on two columns, then semi-joined."""
+    kinds = table(spark, d, "events").select(F.col("user_id").alias("graph"), "event_type")
+    passing = [L.by_size(kinds, 15), L.by_residues(kinds, F.col("event_type") == "error")]
+    letter = F.upper(F.substring("chain", 1, 1))
+    return Q.sequences(L.all_of(A.event_nodes(spark, d), passing), ["graph", "chain"], letter, 2, 1)
+
+
 @query(f"{RUNS} SELECT graph, chain, run, first, last, n, seq FROM (SELECT *, row_number() OVER (PARTITION BY graph, chain ORDER BY n DESC, run DESC) AS best FROM s) WHERE best = 1")
 def longest_run(spark: SparkSession, d: str) -> DataFrame:
     return Q.longest_run(A.event_nodes(spark, d), ["graph", "chain"], F.upper(F.substring("chain", 1, 1)))
