@@ -106,13 +106,13 @@ def nc_weight(spark: SparkSession, d: str) -> DataFrame:
 # --- traversal
 
 
-BALL = f"""WITH RECURSIVE e AS (SELECT DISTINCT graph, src, dst FROM ({A.CONV_EDGES})), roots AS (SELECT conv_id AS graph, turn AS root FROM conversations WHERE turn % 3 = 0),
+BALL = f"""WITH RECURSIVE e AS (SELECT DISTINCT graph, src, dst FROM ({A.CONV_EDGES})), roots AS (SELECT conv_id AS graph, turn AS root FROM conversations),
 w(graph, root, node, hop) AS (SELECT graph, root, root, 0 FROM roots UNION SELECT w.graph, w.root, e.dst, w.hop + 1 FROM w JOIN e ON w.graph = e.graph AND w.node = e.src WHERE w.hop < 2),
 ball AS (SELECT graph, root, node, min(hop) AS hop FROM w GROUP BY graph, root, node)"""
 
 
 def _roots(spark: SparkSession, d: str) -> DataFrame:
-    return A.conv_nodes(spark, d).where("node % 3 = 0").select("graph", F.col("node").alias("root"))
+    return A.conv_nodes(spark, d).select("graph", F.col("node").alias("root"))
 
 
 @query(f"{BALL} SELECT graph, root, node, hop FROM ball")
@@ -127,10 +127,11 @@ def ego_graphlet(spark: SparkSession, d: str) -> DataFrame:
     return T.ego_edges(e, T.ball(e, _roots(spark, d), 2))
 
 
-@query(f"""{BALL.replace('w.hop < 2', 'w.hop < 1')} SELECT DISTINCT l.graph, l.src, l.dst, l.label FROM ({A.CONV_EDGES}) l JOIN ball a ON a.graph = l.graph AND a.node = l.src
+@query(f"""{BALL.replace('w.hop < 2', 'w.hop < 1').replace('FROM conversations)', "FROM conversations WHERE role = 'assistant')", 1)} SELECT DISTINCT l.graph, l.src, l.dst, l.label FROM ({A.CONV_EDGES}) l JOIN ball a ON a.graph = l.graph AND a.node = l.src
 JOIN ball b ON b.graph = l.graph AND b.root = a.root AND b.node = l.dst""")
 def induced_edge_filter(spark: SparkSession, d: str) -> DataFrame:
-    return T.near_roots(A.conv_edges(spark, d), _roots(spark, d), 1)
+    roots = A.conv_nodes(spark, d).where("code = 'assistant'").select("graph", F.col("node").alias("root"))
+    return T.near_roots(A.conv_edges(spark, d), roots, 1)
 
 
 UNDIRECTED = f"""SELECT DISTINCT graph, least(src, dst) AS src, greatest(src, dst) AS dst,
@@ -243,7 +244,7 @@ def kernel_loss(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""{BALL}, u AS ({UNDIRECTED}), h AS (SELECT a.graph, a.root, min(a.hop) + 1 AS hop, u.label, u.src, u.dst FROM u JOIN ball a ON a.graph = u.graph AND (a.node = u.src OR a.node = u.dst)
 WHERE a.hop < 2 GROUP BY a.graph, a.root, u.label, u.src, u.dst), k AS (SELECT graph, root, hop, label, count(*) AS n FROM h GROUP BY graph, root, hop, label),
-p AS (SELECT a.graph, a.root AS a, b.root AS b FROM roots a JOIN roots b ON a.graph = b.graph AND b.root = a.root + 3),
+p AS (SELECT a.graph, a.root AS a, b.root AS b FROM roots a JOIN roots b ON a.graph = b.graph AND b.root = a.root + 1),
 c AS (SELECT p.graph, p.a, p.b, hop, label, sum(CASE WHEN k.root = p.a THEN n ELSE 0 END) AS n, sum(CASE WHEN k.root = p.b THEN n ELSE 0 END) AS m FROM p JOIN k ON k.graph = p.graph AND (k.root = p.a OR k.root = p.b) GROUP BY p.graph, p.a, p.b, hop, label),
 r AS (SELECT graph, a, b, hop, sum(least(n, m)) / sum(greatest(n, m)) AS s FROM c GROUP BY graph, a, b, hop)
 SELECT p.graph, p.a, p.b, round((0.5 * coalesce(r1.s, 1) + 0.25 * coalesce(r2.s, 1)) / 0.75, 6) AS similarity FROM p
@@ -253,8 +254,8 @@ def ring_jaccard(spark: SparkSession, d: str) -> DataFrame:
     ident = lambda c: F.struct("graph", c)
     counts = T.rings(E.undirected(A.conv_edges(spark, d)), roots, 2).groupBy(ident(F.col("root")).alias("id"), "hop", "label").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("id", F.concat_ws(".", F.col("id.graph"), F.col("id.root")))
-    next_ = roots.select("graph", (F.col("root") - 3).alias("root"))
-    pairs = roots.join(next_, ["graph", "root"]).select(F.concat_ws(".", "graph", "root").alias("a"), F.concat_ws(".", "graph", F.col("root") + 3).alias("b"))
+    next_ = roots.select("graph", (F.col("root") - 1).alias("root"))
+    pairs = roots.join(next_, ["graph", "root"]).select(F.concat_ws(".", "graph", "root").alias("a"), F.concat_ws(".", "graph", F.col("root") + 1).alias("b"))
     s = M.ring_jaccard(counts, pairs, 0.5, 2)
     end = lambda c, i: F.split(c, r"\.")[i].cast("long")
     return s.select(end("a", 0).alias("graph"), end("a", 1).alias("a"), end("b", 1).alias("b"), F.round("similarity", 6).alias("similarity"))
@@ -290,8 +291,8 @@ def greedy_cluster(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ged(spark: SparkSession, d: str) -> DataFrame:
-    """Edit distance of each conversation's first turns to those of the next conversation."""
-    e = E.undirected(A.conv_edges(spark, d)).where("src < 4 AND dst < 4")
+    """Edit distance of each conversation to the next one; null for those of more than six turns."""
+    e = E.undirected(A.conv_edges(spark, d))
     whole = e.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "label"))).alias("edges"))
     after = whole.select((F.col("graph") - 1).alias("graph"), F.col("edges").alias("others"))
 
@@ -300,7 +301,7 @@ def ged(spark: SparkSession, d: str) -> DataFrame:
         import pandas as pd
 
         sub = lambda a, b: 0.0 if a == b else 1.0
-        return pd.Series([M.edit_distance({(x["src"], x["dst"], x["label"]) for x in a}, {(x["src"], x["dst"], x["label"]) for x in b}, sub, lambda _: 1.0) for a, b in zip(one, two, strict=True)])
+        return pd.Series([M.edit_distance({(x["src"], x["dst"], x["label"]) for x in a}, {(x["src"], x["dst"], x["label"]) for x in b}, sub, lambda _: 1.0, 6) for a, b in zip(one, two, strict=True)], dtype=float)
 
     return whole.join(after, "graph").select("graph", distance("edges", "others").alias("ged"))
 

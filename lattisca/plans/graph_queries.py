@@ -100,11 +100,10 @@ def resolution_filter(spark: SparkSession, d: str) -> DataFrame:
     return L.by_resolution(g, 50000).select("graph")
 
 
-@query("SELECT user_id AS graph, event_id AS node, event_type AS chain FROM events WHERE event_type IN ('purchase', 'error') AND user_id % 2 = 0 OR event_type = 'view' AND user_id % 2 = 1")
+@query("SELECT user_id AS graph, event_id AS node, event_type AS chain FROM events WHERE event_type IN ('purchase', 'error')")
 def chain_filter(spark: SparkSession, d: str) -> DataFrame:
     nodes = A.table(spark, d, "events").select(F.col("user_id").alias("graph"), F.col("event_id").alias("node"), F.col("event_type").alias("chain"))
-    kinds = F.when(F.col("graph") % 2 == 0, F.array(F.lit("purchase"), F.lit("error"))).otherwise(F.array(F.lit("view")))
-    valid = nodes.select("graph").distinct().select("graph", F.explode(kinds).alias("chain"))
+    valid = nodes.select("graph").distinct().select("graph", F.explode(F.array(F.lit("purchase"), F.lit("error"))).alias("chain"))
     return L.by_chains(nodes, valid).select("graph", "node", "chain")
 
 
@@ -138,11 +137,11 @@ def chain_split(spark: SparkSession, d: str) -> DataFrame:
     return P.by_chain(nodes, follow)[1].select("graph", "src", "dst", "part")
 
 
-@query(f"""WITH n AS ({A.CONV_NODES}), l AS (SELECT graph, node, node % 3 AS list FROM n WHERE node % 3 <> 1)
+@query(f"""WITH n AS ({A.CONV_NODES}), l AS (SELECT graph, node, code AS list FROM n WHERE code <> 'system')
 SELECT graph, node, CAST(dense_rank() OVER (PARTITION BY graph ORDER BY list) - 1 AS BIGINT) AS part FROM l""")
 def partition_from_dict(spark: SparkSession, d: str) -> DataFrame:
     nodes = A.conv_nodes(spark, d)
-    lists = nodes.select("graph", "node", (F.col("node") % 3).alias("list")).where("list <> 1")
+    lists = nodes.select("graph", "node", F.col("code").alias("list")).where("list <> 'system'")
     return P.from_lists(nodes.select("graph", "node"), lists).select("graph", "node", "part")
 
 
@@ -189,9 +188,9 @@ def backbone_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH e AS ({A.CONV_EDGES}), b AS (SELECT graph, src AS node, dst AS other FROM e UNION ALL SELECT graph, dst, src FROM e)
-SELECT DISTINCT graph, other AS node FROM b WHERE node % 4 = 0 AND other % 4 <> 0""")
+SELECT DISTINCT b.graph, other AS node FROM b JOIN conversations x ON x.conv_id = b.graph AND x.turn = b.node JOIN conversations y ON y.conv_id = b.graph AND y.turn = b.other WHERE x.role = 'user' AND y.role <> 'user'""")
 def incident_nodes(spark: SparkSession, d: str) -> DataFrame:
-    chosen = A.conv_nodes(spark, d).where("node % 4 = 0")
+    chosen = A.conv_nodes(spark, d).where("code = 'user'")
     return E.incident_nodes(A.conv_edges(spark, d), chosen)
 
 

@@ -36,8 +36,8 @@ def cell_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ring_kernel(spark: SparkSession, d: str) -> DataFrame:
-    """Isostericity kernel between the residues of each conversation that three divides."""
-    nodes = A.conv_nodes(spark, d).where("node % 3 = 0").select("graph", F.col("node").alias("root"))
+    """Isostericity kernel between the turns of each conversation."""
+    nodes = A.conv_nodes(spark, d).select("graph", F.col("node").alias("root"))
     rings = T.rings(E.undirected(A.conv_edges(spark, d)), nodes, 2)
     return N.kernel_matrix(N.ring_arrays(rings, 2), N.RingKernel("R_iso", 2))
 
