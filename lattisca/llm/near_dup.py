@@ -228,10 +228,10 @@ def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 
 
 def _joining_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Of a crowded region, links between different components, confirmed here on the full sets: only what joins two
-    components leaves, never the pairs that were looked at."""
+    """Of a crowded region, links between different components, found on the full sets of narrow hashes: only what joins
+    two components leaves, never the pairs that were looked at."""
     ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
-    sets = [np.frombuffer(s, np.uint64) for s in rows.column("s").to_pylist()]
+    sets = [np.frombuffer(s, np.uint32) for s in rows.column("s").to_pylist()]
     pairs = _pairs_between(_brief(rows), comp)
     parent = {int(c): int(c) for c in set(comp.tolist())}
 
@@ -250,8 +250,8 @@ def _joining_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, s): the full sets of the documents with these ids, sorted, as bytes."""
+def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str, words: int, narrow: bool = False) -> DataFrame:
+    """(id, s): the full sets of the documents with these ids, sorted, as bytes; ``narrow`` keeps 32 bits of each hash."""
     ids = durable(ids)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -260,7 +260,8 @@ def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str, words: int) -> D
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("near_dup", _WORDS.clear)
         for batch in batches:
-            found = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
+            whole = [shingles(t.as_py(), words) for t in batch.column(1)]
+            found = [(np.unique((s >> np.uint64(32)).astype(np.uint32)) if narrow else s).tobytes() for s in whole]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "s"])
 
     return durable(needed.mapInArrow(sets, "id long, s binary"))
@@ -318,15 +319,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     links = durable(_confirmed(first, docs, key, text, words, percent))
     comp = components(links)
     # Regions that still hold several components: what could join them and was not looked at before.
-    labelled = regions.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = labelled.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y").select("region", "m")
-    second = durable(_candidates(labelled.join(mixed.where(F.col("m") <= SMALL), "region", "left_semi"), True).join(first, ["a", "b"], "left_anti"))
+    # Ids and components tell which; signatures travel for those regions alone.
+    marked = durable(regions.select("region", "id").join(comp, "id", "left").select("region", "id", F.coalesce("comp", "id").alias("comp")))
+    mixed = marked.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y").select("region", "m")
+    open_ = durable(marked.join(mixed, "region").join(regions, ["region", "id"]).select("region", "place", "id", "brief", "comp", "m"))
+    second = durable(_candidates(open_.where(F.col("m") <= SMALL), True).join(first, ["a", "b"], "left_anti"))
     more = links.limit(0) if second.isEmpty() else _confirmed(second, docs, key, text, words, percent)
-    crowded = durable(labelled.join(mixed.where(F.col("m") > SMALL), "region", "left_semi"))
+    crowded = open_.where(F.col("m") > SMALL)
     if not crowded.isEmpty():
-        full = crowded.join(_sets(crowded.select("id").distinct(), docs, key, text, words), "id")
+        full = crowded.join(_sets(crowded.select("id").distinct(), docs, key, text, words, narrow=True), "id")
         dealt = full.select("region", "place", "id", "brief", "comp", "s").repartition("region").sortWithinPartitions("region", "place", "id")
-        more = more.union(_by_region(dealt, lambda rows: _joining_links(rows, percent)))
+        joining = durable(_by_region(dealt, lambda rows: _joining_links(rows, percent)))
+        more = more.union(_confirmed(joining, docs, key, text, words, percent))
     comp = components(comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more))
     # Classes by their representative's component, documents by their class.
     named = classes.join(comp, classes.rep == comp.id, "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
