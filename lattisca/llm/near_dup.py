@@ -1,9 +1,11 @@
 """Near-duplicates by an LSH forest: several orders of sorted MinHash signatures, in each of which documents that share a long
-prefix are candidates; crowded prefixes are read deeper, region by region.
+prefix are candidates. The shortest prefix makes a bucket; for a cheap first round crowded buckets are read deeper, region by
+region, and in the second all documents of a bucket that lie in different components are compared.
 
 Texts with equal shingle sets are one class from the start. Candidates are confirmed on full sets, and components of the
-links are found without any of it on the driver. A region's documents are compared in memory, bounded by REGION, and only
-pairs that could still join two components leave it, so a group of copies costs about as many pairs as it has members.
+links are found without any of it on the driver. What is compared in memory is bounded by REGION: a larger bucket is cut into
+blocks that all meet, in tasks of their own. Only pairs that could still join two components leave a task, so a group of copies
+costs about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ TREES = 16
 DEPTH = 8
 #: Values of a tree's signature that make the first prefix, and those of the deeper ones for crowded regions.
 PREFIXES = (4, 6, 8)
-#: The most documents of a region that are compared in one piece, and the most of which all pairs are looked at at once.
+#: The most documents that are compared in one piece (about: blocks are dealt by hash), and the most of which all pairs are
+#: looked at at once.
 REGION = 2048
 SMALL = 24
 #: Estimated similarity from which a pair may be a link, and from which it surely is one for choosing what to confirm.
@@ -96,7 +99,9 @@ def _signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def _regions(reps: DataFrame) -> DataFrame:
-    """Rows (region, place, id, brief): each document once in each tree in which its prefix is shared, ordered by place."""
+    """Rows (bucket, region, place, id, brief): each document once in each tree in which its prefix, the bucket, is shared,
+    ordered by place. A crowded bucket has several regions, which is where the first round looks for links; none is final. Any
+    other is one, and its ``region`` null: hashes fill the disk."""
     def prefix(values: int) -> Column:
         return F.xxhash64("t", F.substring("sig", F.col("t") * (4 * DEPTH) + 1, F.lit(4 * values)))
 
@@ -104,34 +109,39 @@ def _regions(reps: DataFrame) -> DataFrame:
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
     rows = reps.select("id", "sig", tree).select("id", "t", prefix(PREFIXES[0]).alias(f"p{PREFIXES[0]}"))
     shared = rows.groupBy(f"p{PREFIXES[0]}").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    found = rows.join(shared.where(F.col("m") <= REGION), f"p{PREFIXES[0]}").select("id", "t", F.col(f"p{PREFIXES[0]}").alias("region"))
+    found = rows.join(shared.where(F.col("m") <= REGION), f"p{PREFIXES[0]}").select("id", "t", F.col(f"p{PREFIXES[0]}").alias("bucket"), F.lit(None).cast("long").alias("region"))
     # Crowded prefixes, mostly none, are read deeper until they are small enough.
-    deep = rows.join(shared.where(F.col("m") > REGION), f"p{PREFIXES[0]}").select("id", "t").join(reps.select("id", "sig"), "id")
-    deep = deep.select("id", "t", *[prefix(d).alias(f"p{d}") for d in PREFIXES[1:]], F.lit(None).cast("long").alias("region"))
+    deep = rows.join(shared.where(F.col("m") > REGION), f"p{PREFIXES[0]}").select("id", "t", F.col(f"p{PREFIXES[0]}").alias("bucket")).join(reps.select("id", "sig"), "id")
+    deep = deep.select("id", "t", "bucket", *[prefix(d).alias(f"p{d}") for d in PREFIXES[1:]], F.lit(None).cast("long").alias("region"))
     for d in PREFIXES[1:]:
         counts = deep.where(F.col("region").isNull()).groupBy(f"p{d}").agg(F.count(F.lit(1)).alias(f"m{d}"))
         deep = deep.join(counts, f"p{d}", "left").withColumn("region", F.coalesce("region", F.when(F.col(f"m{d}") <= REGION, F.col(f"p{d}"))))
     last = PREFIXES[-1]
     # Still too many alike to the last value: cut by chance, in each tree in another way.
     part = F.pmod(F.xxhash64("id", f"p{last}"), F.ceil(F.col(f"m{last}") / REGION))
-    deep = deep.select("id", "t", F.coalesce("region", F.xxhash64(f"p{last}", part)).alias("region"))
+    deep = deep.select("id", "t", "bucket", F.coalesce("region", F.xxhash64(f"p{last}", part)).alias("region"))
     place = F.substring("sig", F.col("t") * (4 * DEPTH) + 1, F.lit(4 * DEPTH))
-    return found.union(deep).join(reps.select("id", "sig", "brief"), "id").select("region", place.alias("place"), "id", "brief")
+    return found.union(deep).join(reps.select("id", "sig", "brief"), "id").select("bucket", "region", place.alias("place"), "id", "brief")
 
 
-def _pairs_between(brief: np.ndarray, comp: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and estimated similarity, the most alike first, of pairs that may be linked (of different components only)."""
+def _pairs_between(brief: np.ndarray, comp: np.ndarray | None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and estimated similarity, the most alike first, of pairs that may be linked (of different components only, and
+    across where there are two sides)."""
+    across = side is not None and 0 < side.sum() < len(side)
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side)) if across else (np.arange(len(brief)),) * 2
+    other = brief[right]
     one, two, est = [], [], []
-    for i in range(0, len(brief), 128):
-        same = (brief[i : i + 128, None, :] == brief[None, :, :]).sum(2, dtype=np.int16)
+    for i in range(0, len(left), 128):
+        at = left[i : i + 128]
+        same = (brief[at][:, None, :] == other[None, :, :]).sum(2, dtype=np.int16)
         alike = same >= MAYBE * brief.shape[1]
         if comp is not None:
-            alike &= comp[i : i + 128, None] != comp[None, :]
+            alike &= comp[at][:, None] != comp[right][None, :]
         a, b = np.nonzero(alike)
-        up = b > a + i
-        one.append(a[up] + i)
-        two.append(b[up])
-        est.append(same[a[up], b[up]])
+        up = slice(None) if across else right[b] > at[a]
+        one.append(at[a][up])
+        two.append(right[b][up])
+        est.append(same[a, b][up])
     one, two, est = np.concatenate(one), np.concatenate(two), np.concatenate(est) / brief.shape[1]
     order = np.argsort(-est, kind="stable")
     return one[order], two[order], est[order]
@@ -212,7 +222,8 @@ def _brief(rows: pa.Table) -> np.ndarray:
 
 
 def _candidates(regions: DataFrame, with_comp: bool) -> DataFrame:
-    dealt = regions.select("region", "place", "id", "brief", *["comp"] * with_comp).repartition("region").sortWithinPartitions("region", "place", "id")
+    order = ["region", "id"] if with_comp else ["region", "place", "id"]
+    dealt = regions.select(*order, "brief", *["comp"] * with_comp).repartition("region").sortWithinPartitions(*order)
     return _by_region(dealt, lambda rows: _candidates_of(rows.column("id").to_numpy(), _brief(rows), rows.column("comp").to_numpy() if with_comp else None))
 
 
@@ -227,12 +238,35 @@ def _linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(p) + len(q) - inter)
 
 
+def _cells(crowded: DataFrame) -> DataFrame:
+    """Rows (region, id, brief, comp, side) of crowded buckets, dealt to cells in which any two documents of a bucket
+    and of different components meet. A bucket of at most REGION documents is one cell. A larger one is cut into blocks of
+    half as many, those of its largest component apart, as they need not meet each other: each block of the rest meets
+    itself in one cell and every other block, as the two sides of a cell, in another."""
+    large = crowded.where(F.col("m") > REGION)
+    each = large.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
+    half = F.lit(max(1, REGION // 2))
+    cut = each.groupBy("region").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("major"),
+        F.ceil((F.sum("n") - F.max("n")) / half).alias("rest"),
+        F.ceil(F.max("n") / half).alias("others"),
+    )
+    rows = large.join(cut, "region").withColumn("in_major", F.col("comp") == F.col("major"))
+    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(REGION)), F.col(n))
+    rows = rows.withColumn("block", F.when(F.col("in_major"), F.col("rest") + deal("others")).otherwise(deal("rest")))
+    last = F.when(F.col("in_major"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("others") - 1)
+    met = rows.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    cell = F.xxhash64("region", F.least("block", "met"), F.greatest("block", "met"))
+    whole = crowded.where(F.col("m") <= REGION).select("region", "id", "brief", "comp", F.lit(0).alias("side"))
+    return whole.union(met.select(cell.alias("region"), "id", "brief", "comp", (F.col("block") > F.col("met")).cast("int").alias("side")))
+
+
 def _joining_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Of a crowded region, links between different components, found on the full sets of narrow hashes: only what joins
+    """Of a cell, links between different components, found on the full sets of narrow hashes: only what joins
     two components leaves, never the pairs that were looked at."""
     ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
     sets = [np.frombuffer(s, np.uint32) for s in rows.column("s").to_pylist()]
-    pairs = _pairs_between(_brief(rows), comp)
+    pairs = _pairs_between(_brief(rows), comp, rows.column("side").to_numpy())
     parent = {int(c): int(c) for c in set(comp.tolist())}
 
     def find(x: int) -> int:
@@ -315,20 +349,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     owners = classes.select(F.col("rep").alias("id"), F.col("k1").alias("c1"), F.col("k2").alias("c2"))
     reps = filled.join(owners, "id").where("k1 = c1 and k2 = c2").select("id", "sig", "brief").distinct()
     regions = durable(_regions(reps))
-    first = durable(_candidates(regions, False))
+    first = durable(_candidates(regions.withColumn("region", F.coalesce("region", "bucket")), False))
     links = durable(_confirmed(first, docs, key, text, words, percent))
     comp = components(links)
-    # Regions that still hold several components: what could join them and was not looked at before.
-    # Ids and components tell which; signatures travel for those regions alone.
+    # Buckets that still hold several components: what could join them and was not looked at before.
+    # Ids and components tell which; signatures travel for those buckets alone.
+    regions = regions.select(F.col("bucket").alias("region"), "id", "brief")
     marked = durable(regions.select("region", "id").join(comp, "id", "left").select("region", "id", F.coalesce("comp", "id").alias("comp")))
     mixed = marked.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y").select("region", "m")
-    open_ = durable(marked.join(mixed, "region").join(regions, ["region", "id"]).select("region", "place", "id", "brief", "comp", "m"))
+    open_ = durable(marked.join(mixed, "region").join(regions, ["region", "id"]).select("region", "id", "brief", "comp", "m"))
     second = durable(_candidates(open_.where(F.col("m") <= SMALL), True).join(first, ["a", "b"], "left_anti"))
     more = links.limit(0) if second.isEmpty() else _confirmed(second, docs, key, text, words, percent)
     crowded = open_.where(F.col("m") > SMALL)
     if not crowded.isEmpty():
-        full = crowded.join(_sets(crowded.select("id").distinct(), docs, key, text, words, narrow=True), "id")
-        dealt = full.select("region", "place", "id", "brief", "comp", "s").repartition("region").sortWithinPartitions("region", "place", "id")
+        full = _cells(crowded).join(_sets(crowded.select("id").distinct(), docs, key, text, words, narrow=True), "id")
+        dealt = full.select("region", "id", "brief", "comp", "side", "s").repartition("region").sortWithinPartitions("region", "id")
         joining = durable(_by_region(dealt, lambda rows: _joining_links(rows, percent)))
         more = more.union(_confirmed(joining, docs, key, text, words, percent))
     comp = components(comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more))

@@ -193,6 +193,25 @@ def test_crowded_regions_are_read_deeper(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 2, 80).items()}
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Pairs of filled-in forms: the template crowds the prefixes of all trees, and each form is linked with its twin alone."""
+    monkeypatch.setattr(near_dup, "REGION", 40)
+    rng = random.Random(32)
+    base, texts = words(rng, 200, 5000).split(), []
+    for n in range(180):
+        at = rng.sample(range(1, 199, 2), 14)
+        form = list(base)
+        for k in at[:4]:
+            form[k] = f"p{n}_{k}"
+        for twin, own in enumerate((at[4:9], at[9:14])):
+            copy = list(form)
+            for k in own:
+                copy[k] = f"t{n}_{twin}_{k}"
+            texts.append(" ".join(copy))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, texts), words=2).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 2, 80).items()}
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     found = near_dup.near_duplicates(odd).collect()
     assert len(found) == odd.count()
