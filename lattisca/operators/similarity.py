@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
 import math
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -127,32 +127,64 @@ def hungarian(cost: np.ndarray) -> tuple[np.ndarray, float]:
     return out, float(cost[np.arange(n), out].sum())
 
 
-def edit_distance(one: set[tuple[int, int, str]], two: set[tuple[int, int, str]], substitute: Callable[[str, str], float], indel: Callable[[str], float], most_nodes: int = 7) -> float | None:
+def edit_distance(one: set[tuple[int, int, str]], two: set[tuple[int, int, str]], substitute: Callable[[str, str], float], indel: Callable[[str], float], most_nodes: int = 9) -> float | None:
     """Graph edit distance with free node changes: the cheapest cost of edges over all injections of the smaller graph's nodes
-    into the other's. None if either has more than ``most_nodes``."""
+    into the other's, by branch and bound. None if either has more than ``most_nodes``. Costs are not negative, and a label
+    in place of itself costs nothing."""
     a, b = sorted({n for e in one for n in e[:2]}), sorted({n for e in two for n in e[:2]})
     if max(len(a), len(b)) > most_nodes:
         return None
     if len(a) > len(b):
         return edit_distance(two, one, substitute, indel, most_nodes)
     first, second = {(s, d): k for s, d, k in one}, {(s, d): k for s, d, k in two}
+    # Nodes with most edges to those before come first, so that costs show early.
+    order: list[int] = []
+    while len(order) < len(a):
+        tied = lambda n: (sum((n in e) and (e[0] in order or e[1] in order) for e in first), sum(n in e for e in first))
+        order.append(max((n for n in a if n not in order), key=tied))
+    between = lambda edges, n, others: [e for m in others for e in ((n, m), (m, n)) if e in edges] + [(n, n)] * ((n, n) in edges)
+    rest = [Counter(first.values())]
+    for i, n in enumerate(order):
+        rest.append(rest[-1] - Counter(first[e] for e in between(first, n, order[:i])))
+    known: dict[tuple, float] = {}
+
+    def bound(p: Counter, q: Counter) -> float:
+        """What the edges that are still open cost at least: of each label, those beyond the other side's change or go."""
+        at = (frozenset(p.items()), frozenset(q.items()))
+        if at not in known:
+            left = sum((c - q[k]) * min([indel(k), *(substitute(k, x) for x in q if x != k)]) for k, c in p.items() if c > q[k])
+            right = sum((c - p[k]) * min([indel(k), *(substitute(x, k) for x in p if x != k)]) for k, c in q.items() if c > p[k])
+            known[at] = max(left, right)
+        return known[at]
+
     best = math.inf
-    for chosen in itertools.permutations(b, len(a)):
-        to = dict(zip(a, chosen, strict=True))
-        cost, used = 0.0, set()
-        for (s, d), k in first.items():
-            there = (to[s], to[d])
-            if there in second:
-                used.add(there)
-                cost += substitute(k, second[there])
-            else:
-                cost += indel(k)
-            if cost >= best:
+
+    def place(i: int, to: dict[int, int], cost: float, open_: Counter) -> None:
+        nonlocal best
+        if i == len(order):
+            best = min(best, cost + sum(indel(k) * c for k, c in open_.items()))
+            return
+        n, steps = order[i], []
+        mine = between(first, n, order[:i])
+        for v in b:
+            if v in to.values():
+                continue
+            there = set(between(second, v, to.values()))
+            more, image = 0.0, {**to, n: v}
+            for s, d in mine:
+                e = (image[s], image[d])
+                more += substitute(first[s, d], second[e]) if e in there else indel(first[s, d])
+                there.discard(e)
+            more += sum(indel(second[e]) for e in there)
+            after = open_ - Counter(second[e] for e in between(second, v, to.values()))
+            steps.append((cost + more + bound(rest[i + 1], after), v, cost + more, image, after))
+        for least, _, now, image, after in sorted(steps, key=lambda x: x[:2]):
+            if least >= best - 1e-12:
                 break
-        else:
-            cost += sum(indel(k) for e, k in second.items() if e not in used)
-            best = min(best, cost)
-    return 0.0 if best is math.inf else best
+            place(i + 1, image, now, after)
+
+    place(0, {}, 0.0, Counter(second.values()))
+    return best
 
 
 def first_of_pure_clusters(rows: DataFrame, cluster: str, label: str, order: list[Column]) -> DataFrame:

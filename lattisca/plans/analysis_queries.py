@@ -291,7 +291,7 @@ def greedy_cluster(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ged(spark: SparkSession, d: str) -> DataFrame:
-    """Edit distance of each conversation to the next one; null for those of more than six turns."""
+    """Edit distance of each conversation to the next one; null for those of more than nine turns."""
     e = E.undirected(A.conv_edges(spark, d))
     whole = e.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "label"))).alias("edges"))
     after = whole.select((F.col("graph") - 1).alias("graph"), F.col("edges").alias("others"))
@@ -301,7 +301,7 @@ def ged(spark: SparkSession, d: str) -> DataFrame:
         import pandas as pd
 
         sub = lambda a, b: 0.0 if a == b else 1.0
-        return pd.Series([M.edit_distance({(x["src"], x["dst"], x["label"]) for x in a}, {(x["src"], x["dst"], x["label"]) for x in b}, sub, lambda _: 1.0, 6) for a, b in zip(one, two, strict=True)], dtype=float)
+        return pd.Series([M.edit_distance({(x["src"], x["dst"], x["label"]) for x in a}, {(x["src"], x["dst"], x["label"]) for x in b}, sub, lambda _: 1.0) for a, b in zip(one, two, strict=True)], dtype=float)
 
     return whole.join(after, "graph").select("graph", distance("edges", "others").alias("ged"))
 

@@ -118,6 +118,23 @@ def test_edit_distance():
     assert M.edit_distance({(i, i + 1, "A") for i in range(9)}, one, sub, lambda _: 1.0) is None
 
 
+def test_edit_distance_of_larger_graphs():
+    sub = lambda a, b: 0.0 if a == b else 1.0
+    ring = {(i, (i + 1) % 9, "AB"[i % 2]) for i in range(9)}
+    turned = {(20 - s, 20 - d, k) for s, d, k in ring}
+    assert M.edit_distance(ring, turned, sub, lambda _: 1.0) == 0
+    assert M.edit_distance(ring, turned - {(20, 19, "A")} | {(20, 18, "B")}, sub, lambda _: 1.0) == 2
+
+
+def test_ged_of_eight_turns(spark, tmp_path):
+    from lattisca.plans.analysis_queries import ged
+
+    turns = [(c, t, ("user", "assistant")[t % 2], "x") for c, n in ((1, 8), (2, 8), (3, 7)) for t in range(n)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.graph: r.ged for r in ged(spark, str(tmp_path)).collect()}
+    assert got == {1: 0.0, 2: 2.0}
+
+
 def test_assignment_of_clusters():
     sizes = [1, 2, 1, 1]
     labels = [{0: 32, 1: 2}, {0: 28 + 30, 1: 3 + 1}, {}, {0: 25, 1: 4}]
