@@ -5,6 +5,8 @@ A graph is bounded, so hops are too; the number of roots is not, and no root is
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +65,12 @@ def rings(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return first.select("graph", "root", "hop", "label", F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-def dangle_trim(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """Edges (graph, src, dst), undirected and once each, left when nodes of degree below two are removed again and again."""
+def dangle_trim(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges (graph, src, dst), undirected and once each, left when nodes of degree below two are removed until there are none;
+    an error if ``rounds`` are given and do not suffice."""
     now = durable(edges.select("graph", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
     count = now.count()
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         ends = now.select("graph", F.explode(F.array("src", "dst")).alias("node"))
         kept = ends.groupBy("graph", "node").agg(F.count(F.lit(1)).alias("d")).where("d >= 2").select("graph", "node")
         after = durable(
@@ -76,9 +79,9 @@ def dangle_trim(edges: DataFrame, rounds: int = 200) -> DataFrame:
         left = after.count()
         now = after
         if left == count:
-            break
+            return now
         count = left
-    return now
+    raise RuntimeError(f"loose ends are left after {rounds} rounds")
 
 
 def wl_labels(edges: DataFrame, nodes: DataFrame, label: str, iterations: int = 2) -> DataFrame:

@@ -118,6 +118,14 @@ def test_edit_distance():
     assert M.edit_distance({(i, i + 1, "A") for i in range(9)}, one, sub, lambda _: 1.0) is None
 
 
+def test_dangle_trim_ends_or_fails(spark):
+    ring = [(1, i, (i + 1) % 3, "A") for i in range(3)]
+    edges = spark.createDataFrame(ring + [(1, i, i + 1, "A") for i in range(2, 8)], "graph long, src long, dst long, label string")
+    assert T.dangle_trim(edges).count() == 3
+    with pytest.raises(RuntimeError):
+        T.dangle_trim(edges, rounds=3)
+
+
 def test_edit_distance_of_larger_graphs():
     sub = lambda a, b: 0.0 if a == b else 1.0
     ring = {(i, (i + 1) % 9, "AB"[i % 2]) for i in range(9)}
