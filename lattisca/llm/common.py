@@ -85,6 +85,43 @@ def smallest_hashes(rows: DataFrame, key: str, kind: str, most: int) -> Column:
     return out
 
 
+def join_split(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has a row for each of its ``keys``, when some keys may have very many ``rows``.
+
+    Spark deals a hot key's rows over several tasks only where both sides were shuffled for the join. An aggregate by the
+    same keys would pass on its own partitioning instead, and so one task would get all; another key beside them prevents it.
+    """
+    mark = F.xxhash64(*keys, F.lit(len(keys)))
+    return rows.withColumn("_split", mark).join(keyed.withColumn("_split", mark), ["_split", *keys], how).drop("_split")
+
+
+class Scratch:
+    """Durable intermediate results of one operator, removed together when its result no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out = durable(df)
+        file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            self.paths.append(file.get())
+        return out
+
+    def drop(self, but: int = 0) -> None:
+        """Removes all but the last ``but`` results."""
+        gone = self.paths[: len(self.paths) - but]
+        self.paths = self.paths[len(gone) :]
+        remove(self.spark, gone)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders, wherever they are."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
