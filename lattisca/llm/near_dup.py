@@ -11,6 +11,7 @@ costs about as many pairs as it has members.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import durable, hold, table
+from lattisca.llm.common import Scratch, durable, hold, join_split, table
 
 TREES = 16
 DEPTH = 8
@@ -28,8 +29,11 @@ PREFIXES = (4, 6, 8)
 #: looked at at once.
 REGION = 2048
 SMALL = 24
-#: Estimated similarity from which a pair may be a link, and from which it surely is one for choosing what to confirm.
-MAYBE, SURE = 0.70, 0.92
+#: Estimated similarity from which a pair may be a link, and from which it surely is one for choosing what to confirm. By the
+#: binomial law one in 100,000 pairs of similarity 0.8 is estimated below the first.
+MAYBE, SURE = 0.64, 0.92
+#: Of a shingle's hash, what is kept where sets travel to crowded buckets; what is found with them is confirmed on whole hashes.
+NARROW = np.uint32
 NEIGHBOURS = 3
 HUBS = 3
 KEPT_WORDS = 250_000
@@ -111,11 +115,11 @@ def _regions(reps: DataFrame) -> DataFrame:
     shared = rows.groupBy(f"p{PREFIXES[0]}").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     found = rows.join(shared.where(F.col("m") <= REGION), f"p{PREFIXES[0]}").select("id", "t", F.col(f"p{PREFIXES[0]}").alias("bucket"), F.lit(None).cast("long").alias("region"))
     # Crowded prefixes, mostly none, are read deeper until they are small enough.
-    deep = rows.join(shared.where(F.col("m") > REGION), f"p{PREFIXES[0]}").select("id", "t", F.col(f"p{PREFIXES[0]}").alias("bucket")).join(reps.select("id", "sig"), "id")
+    deep = join_split(rows, shared.where(F.col("m") > REGION), [f"p{PREFIXES[0]}"]).select("id", "t", F.col(f"p{PREFIXES[0]}").alias("bucket")).join(reps.select("id", "sig"), "id")
     deep = deep.select("id", "t", "bucket", *[prefix(d).alias(f"p{d}") for d in PREFIXES[1:]], F.lit(None).cast("long").alias("region"))
     for d in PREFIXES[1:]:
         counts = deep.where(F.col("region").isNull()).groupBy(f"p{d}").agg(F.count(F.lit(1)).alias(f"m{d}"))
-        deep = deep.join(counts, f"p{d}", "left").withColumn("region", F.coalesce("region", F.when(F.col(f"m{d}") <= REGION, F.col(f"p{d}"))))
+        deep = join_split(deep, counts, [f"p{d}"], "left").withColumn("region", F.coalesce("region", F.when(F.col(f"m{d}") <= REGION, F.col(f"p{d}"))))
     last = PREFIXES[-1]
     # Still too many alike to the last value: cut by chance, in each tree in another way.
     part = F.pmod(F.xxhash64("id", f"p{last}"), F.ceil(F.col(f"m{last}") / REGION))
@@ -251,7 +255,7 @@ def _cells(crowded: DataFrame) -> DataFrame:
         F.ceil((F.sum("n") - F.max("n")) / half).alias("rest"),
         F.ceil(F.max("n") / half).alias("others"),
     )
-    rows = large.join(cut, "region").withColumn("in_major", F.col("comp") == F.col("major"))
+    rows = join_split(large, cut, ["region"]).withColumn("in_major", F.col("comp") == F.col("major"))
     deal = lambda n: F.pmod(F.xxhash64("id", F.lit(REGION)), F.col(n))
     rows = rows.withColumn("block", F.when(F.col("in_major"), F.col("rest") + deal("others")).otherwise(deal("rest")))
     last = F.when(F.col("in_major"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("others") - 1)
@@ -261,11 +265,23 @@ def _cells(crowded: DataFrame) -> DataFrame:
     return whole.union(met.select(cell.alias("region"), "id", "brief", "comp", (F.col("block") > F.col("met")).cast("int").alias("side")))
 
 
-def _joining_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Of a cell, links between different components, found on the full sets of narrow hashes: only what joins
+def _may_link(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of ``n`` and ``m`` hashes may be linked, by sorted sets of parts of these hashes. Parts that fall together
+    inside of a set hide at most as many common hashes as the set has lost, so no link is turned down."""
+    if 100 * min(n, m) < percent * max(n, m) or not min(n, m):
+        return False
+    short, long = (p, q) if len(p) < len(q) else (q, p)
+    at = np.searchsorted(long, short)
+    at[at == len(long)] = 0
+    common = int((long[at] == short).sum()) + min(n - len(p), m - len(q))
+    return 100 * common >= percent * (n + m - common)
+
+
+def _joining_links(rows: pa.Table, percent: int, kind: type) -> list[tuple[int, int]]:
+    """Of a cell, links between different components, found on the sets of hashes of ``kind``: only what joins
     two components leaves, never the pairs that were looked at."""
-    ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
-    sets = [np.frombuffer(s, np.uint32) for s in rows.column("s").to_pylist()]
+    ids, comp, sizes = (rows.column(c).to_numpy() for c in ("id", "comp", "n"))
+    sets = [np.frombuffer(s, kind) for s in rows.column("s").to_pylist()]
     pairs = _pairs_between(_brief(rows), comp, rows.column("side").to_numpy())
     parent = {int(c): int(c) for c in set(comp.tolist())}
 
@@ -278,32 +294,56 @@ def _joining_links(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
     out = []
     for i, j in zip(*pairs[:2], strict=True):
         x, y = find(int(comp[i])), find(int(comp[j]))
-        if x != y and _linked(sets[i], sets[j], percent):
+        if x != y and _may_link(sets[i], sets[j], int(sizes[i]), int(sizes[j]), percent):
             parent[x] = y
             out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
     return out
 
 
-def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str, words: int, narrow: bool = False) -> DataFrame:
-    """(id, s): the full sets of the documents with these ids, sorted, as bytes; ``narrow`` keeps 32 bits of each hash."""
-    ids = durable(ids)
+def _crowded_links(crowded: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Confirmed links that join the components of crowded buckets. They are searched on narrow hashes; where one of the
+    found pairs is no link on whole hashes, what it has hidden behind it is searched for again on those."""
+    cells = _cells(crowded)
+
+    def search(some: DataFrame, ids: DataFrame, kind: type) -> DataFrame:
+        full = some.join(_sets(ids.select("id").distinct(), docs, key, text, words, scratch, kind), "id")
+        dealt = full.select("region", "id", "brief", "comp", "side", "n", "s").repartition("region").sortWithinPartitions("region", "id")
+        return scratch.keep(_by_region(dealt, lambda rows: _joining_links(rows, percent, kind)))
+
+    joining = search(cells, crowded, NARROW)
+    links = scratch.keep(_confirmed(joining, docs, key, text, words, percent, scratch))
+    wrong = scratch.keep(joining.join(links, ["a", "b"], "left_anti"))
+    if not wrong.isEmpty():
+        ends = wrong.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        touched = cells.join(ends, "id", "left_semi").select("region").distinct()
+        some = scratch.keep(cells.join(touched, "region", "left_semi"))
+        again = search(some, some, np.uint64)
+        links = links.union(_confirmed(again, docs, key, text, words, percent, scratch))
+    return links
+
+
+def _sets(ids: DataFrame, docs: DataFrame, key: str, text: str, words: int, scratch: Scratch, kind: type = np.uint64) -> DataFrame:
+    """(id, n, s): of the documents with these ids how many shingles they have, and their hashes, or the upper parts of
+    ``kind``, sorted, as bytes."""
+    ids = scratch.keep(ids)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     needed = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    cut = np.uint64(64 - 8 * np.dtype(kind).itemsize)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("near_dup", _WORDS.clear)
         for batch in batches:
             whole = [shingles(t.as_py(), words) for t in batch.column(1)]
-            found = [(np.unique((s >> np.uint64(32)).astype(np.uint32)) if narrow else s).tobytes() for s in whole]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "s"])
+            found = [(np.unique((s >> cut).astype(kind)) if cut else s).tobytes() for s in whole]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in whole], pa.int64()), pa.array(found, pa.binary())], names=["id", "n", "s"])
 
-    return durable(needed.mapInArrow(sets, "id long, s binary"))
+    return scratch.keep(needed.mapInArrow(sets, "id long, n long, s binary"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
-    whole = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, key, text, words)
+    whole = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, key, text, words, scratch)
     both = pairs.join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,65 +354,93 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: in
     return both.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """Rows (id, comp) for every end of a link: the smallest id that it reaches, by large and small stars in turn."""
-    edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+def components(links: DataFrame, rounds: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Rows (id, comp) for every end of a link: the smallest id that it reaches, by large and small stars in turn until
+    nothing changes; an error if ``rounds`` are given and do not suffice. What the result reads is left to ``scratch``."""
+    scratch, outer = Scratch(links.sparkSession), scratch
+    edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     if edges.isEmpty():
         return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     seen = None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # A large component's centre has an edge to each of its members.
+        large = join_split(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = durable(small)
+        small = join_split(large, down, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct()
+        edges = scratch.keep(small)
+        scratch.drop(but=1)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
-            break
+            if outer is not None:
+                outer.paths += scratch.paths
+            return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("id"), "comp")
         seen = now
-    return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("id"), "comp")
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns for each document key, n_shingles, component_id (the smallest key that links reach) and kept (it is that one).
 
     Documents are linked if their sets of ``words``-word shingles have 100 * intersection >= percent * union; a text with
-    fewer words is one shingle. Null and empty texts have no set and are linked with nothing. Documents with equal sets are
-    a class of their own before any search. Rows that repeat a key are one document's, each returned. A null key has no
-    component and is kept. An empty table gives no rows; other columns are not read.
+    fewer words is one shingle, a long one has all of its shingles. Null and empty texts have no set and are linked with
+    nothing. Documents with equal sets are a class of their own before any search. Keys are whole numbers of 64 bits; rows
+    that repeat a key are one document's, each returned. A null key has no component and is kept. An empty table gives no
+    rows; other columns are not read. Only the result stays in the shared folder, what led to it is removed.
     """
-    signed = durable(_signed(docs, key, text, words))
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep(_signed(docs, key, text, words))
     filled = signed.where("n > 0 and id is not null")
     classes = filled.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     # Joined by id alone: what follows is dealt by id too, and signatures are shuffled once.
     owners = classes.select(F.col("rep").alias("id"), F.col("k1").alias("c1"), F.col("k2").alias("c2"))
     reps = filled.join(owners, "id").where("k1 = c1 and k2 = c2").select("id", "sig", "brief").distinct()
-    regions = durable(_regions(reps))
-    first = durable(_candidates(regions.withColumn("region", F.coalesce("region", "bucket")), False))
-    links = durable(_confirmed(first, docs, key, text, words, percent))
-    comp = components(links)
+    regions = scratch.keep(_regions(reps))
+    first = scratch.keep(_candidates(regions.withColumn("region", F.coalesce("region", "bucket")), False))
+    links = scratch.keep(_confirmed(first, docs, key, text, words, percent, scratch))
+    comp = components(links, scratch=scratch)
     # Buckets that still hold several components: what could join them and was not looked at before.
     # Ids and components tell which; signatures travel for those buckets alone.
     regions = regions.select(F.col("bucket").alias("region"), "id", "brief")
-    marked = durable(regions.select("region", "id").join(comp, "id", "left").select("region", "id", F.coalesce("comp", "id").alias("comp")))
+    marked = scratch.keep(regions.select("region", "id").join(comp, "id", "left").select("region", "id", F.coalesce("comp", "id").alias("comp")))
     mixed = marked.groupBy("region").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y").select("region", "m")
-    open_ = durable(marked.join(mixed, "region").join(regions, ["region", "id"]).select("region", "id", "brief", "comp", "m"))
-    second = durable(_candidates(open_.where(F.col("m") <= SMALL), True).join(first, ["a", "b"], "left_anti"))
-    more = links.limit(0) if second.isEmpty() else _confirmed(second, docs, key, text, words, percent)
+    open_ = scratch.keep(join_split(marked, mixed, ["region"]).join(regions, ["region", "id"]).select("region", "id", "brief", "comp", "m"))
+    second = scratch.keep(_candidates(open_.where(F.col("m") <= SMALL), True).join(first, ["a", "b"], "left_anti"))
+    more = links.limit(0) if second.isEmpty() else _confirmed(second, docs, key, text, words, percent, scratch)
     crowded = open_.where(F.col("m") > SMALL)
     if not crowded.isEmpty():
-        full = _cells(crowded).join(_sets(crowded.select("id").distinct(), docs, key, text, words, narrow=True), "id")
-        dealt = full.select("region", "id", "brief", "comp", "side", "s").repartition("region").sortWithinPartitions("region", "id")
-        joining = durable(_by_region(dealt, lambda rows: _joining_links(rows, percent)))
-        more = more.union(_confirmed(joining, docs, key, text, words, percent))
-    comp = components(comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more))
-    # Classes by their representative's component, documents by their class.
+        more = more.union(_crowded_links(crowded, docs, key, text, words, percent, scratch))
+    comp = components(comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")).union(more), scratch=scratch)
+    # Classes by their representative's component, documents by their class. Those without a shingle are no class.
     named = classes.join(comp, classes.rep == comp.id, "left").select("k1", "k2", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    found = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("component_id"))
-    found = found.withColumn("component_id", F.when(F.col(key).isNotNull(), F.col("component_id")))
-    return found.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    full = join_split(filled.select("id", "n", "k1", "k2"), named, ["k1", "k2"]).select("id", "n", "comp")
+    out = full.union(signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("comp")))
+    found = durable(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept")))
+    scratch.drop()
+    return found
+
+
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row with the smallest key stays.
+
+    Rows that repeat a key and its text are one row, the one with the smallest hash of all columns. Rows that repeat a key
+    with other texts are documents of their own, and the smallest hash of key and text decides between them. Rows without
+    a key, without text or with texts alike to none stay. Ties of similarity don't matter, as all links count.
+    """
+    repeated = durable(docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key))
+    kept = lambda rows: near_duplicates(rows, words, percent, "_node", text).where("kept and _node is not null")
+    if repeated.isEmpty():
+        rows = docs.withColumn("_node", F.col(key).cast("long"))
+        return rows.join(kept(rows).select("_node"), "_node", "left_semi").union(rows.where("_node is null").select("_node", *docs.columns)).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = join_split(docs.where(F.col(key).isNotNull()), repeated, [key]).groupBy(F.col(key).alias("_key"), F.xxhash64(text).alias("_th")).agg(F.min_by(whole, F.xxhash64(whole)).alias("_row"))
+    ones = docs.where(F.col(key).isNotNull()).join(repeated, key, "left_anti").select(*docs.columns)
+    rows = ones.withColumn("_node", F.col(key).cast("long")).unionByName(again.select("_row.*", F.xxhash64("_key", "_th").alias("_node")))
+    rows = durable(rows)
+    found = near_duplicates(rows, words, percent, "_node", text).select("_node", F.col("component_id").alias("_comp"))
+    best = rows.select("_node", F.col(key).alias("_key")).join(found, "_node").groupBy("_comp").agg(F.min_by("_node", F.struct("_key", "_node")).alias("_node")).select("_node")
+    return rows.join(best, "_node", "left_semi").select(*docs.columns).union(docs.where(F.col(key).isNull()))
 
 
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
