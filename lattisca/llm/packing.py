@@ -19,7 +19,6 @@ from lattisca.llm.common import durable, gapless_rank, table
 from lattisca.llm.tokens import encoder
 
 CAPACITY = 2048
-MAX_PARTS = 3
 ROUNDS = 250
 
 

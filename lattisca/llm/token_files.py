@@ -30,6 +30,8 @@ from lattisca.llm.tokens import encoder
 
 MAGIC = b"LTSKTOK1"
 STEP = 256
+#: Documents and ids that a reader holds at a time (a longer document is held whole).
+RUN_DOCUMENTS, RUN_TOKENS = 4096, 1_000_000
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 SCHEMA_IDS = SCHEMA + ", ids array<long>"
 
@@ -69,13 +71,25 @@ class EliasFano:
             lower |= (int(self.low[(first + k) // 8]) >> ((first + k) % 8) & 1) << k
         return upper << self.low_bits | lower
 
-    def all(self) -> np.ndarray:
-        """Every value, for a scan."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (places - np.arange(self.n)) << self.low_bits
+    def select_run(self, first: int, behind: int) -> np.ndarray:
+        """The values from ``first`` to before ``behind``: as many selects, for which the directory names the words of the
+        upper halves to read. Nothing else is decoded."""
+        if not 0 <= first <= behind <= self.n:
+            raise IndexError((first, behind))
+        if first == behind:
+            return np.zeros(0, np.int64)
+        block, last = first // STEP, (behind - 1) // STEP + 1
+        byte = int(self.directory[block]) // 8
+        end = int(self.directory[last]) // 8 + 1 if last < len(self.directory) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[byte:end], bitorder="little")) + 8 * byte
+        places = places[np.searchsorted(places, int(self.directory[block])) :]  # bits of the block before
+        places = places[first - block * STEP : behind - block * STEP]
+        out = (places - np.arange(first, behind)) << self.low_bits
         if self.low_bits:
-            low = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-            out = out + low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            at = first * self.low_bits
+            size = (behind - first) * self.low_bits
+            bits = np.unpackbits(self.low[at // 8 : (at + size + 7) // 8], bitorder="little")[at % 8 : at % 8 + size]
+            out = out + bits.reshape(behind - first, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
         return out.astype(np.int64)
 
 
@@ -104,8 +118,13 @@ class TokenFile:
     def bounds(self) -> EliasFano:
         return EliasFano(self.n, self.meta["low_bits"], self._section("low", "u1"), self._section("high", "u1"), self._section("directory", "<u8"))
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        return self._section("keys", "<i8"), np.unpackbits(self._section("nulls", "u1"), bitorder="little", count=self.n).astype(bool)
+    def keys(self, first: int, behind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and null flags of a run of documents."""
+        at, _ = self.meta["sections"]["keys"]
+        flags, _ = self.meta["sections"]["nulls"]
+        some = np.frombuffer(self.file.read_at((behind - first) * 8, at + first * 8), "<i8")
+        bits = np.frombuffer(self.file.read_at((behind + 7) // 8 - first // 8, flags + first // 8), "u1")
+        return some, np.unpackbits(bits, bitorder="little")[first % 8 : first % 8 + behind - first].astype(bool)
 
     def ids(self, first: int, last: int) -> np.ndarray:
         width = self.meta["width"]
@@ -116,6 +135,16 @@ class TokenFile:
         ef = self.bounds()
         return self.ids(ef.select(i - 1) if i else 0, ef.select(i))
 
+    def runs(self, documents: int, tokens: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Runs of documents as the number of the first one, and where each begins and the last ends; a run has at most so
+        many documents and, unless it is one document, ids."""
+        ef, first, start = self.bounds(), 0, 0
+        while first < self.n:
+            ends = ef.select_run(first, min(first + documents, self.n))
+            ends = ends[: max(1, int(np.searchsorted(ends, start + tokens, "right")))]
+            yield first, np.concatenate([[start], ends])
+            first, start = first + len(ends), int(ends[-1])
+
 
 class _Done(WriterCommitMessage):
     def __init__(self, entry: dict | None):
@@ -147,7 +176,10 @@ class TokenFileWriter(DataSourceArrowWriter):
                 coded = encode.encode_all(texts.slice(k, 128).to_pylist())
                 for raw in coded:
                     if self.width != 4:
-                        raw = np.frombuffer(raw, "<u4").astype(f"<u{self.width}").tobytes()
+                        ids4 = np.frombuffer(raw, "<u4")
+                        if len(ids4) and int(ids4.max()) >> 8 * self.width:
+                            raise ValueError(f"id {ids4.max()} does not fit {self.width} bytes")
+                        raw = ids4.astype(f"<u{self.width}").tobytes()
                     out.write(raw + end)
                     lengths.append(len(raw) // self.width + 1)
             nulls.append(np.asarray(ids.is_null().to_numpy(zero_copy_only=False), bool))
@@ -207,23 +239,17 @@ class TokenFileReader(DataSourceReader):
         if not partition.value:
             return
         file = TokenFile(f"{self.path}/{partition.value}")
-        ends = file.bounds().all()
-        starts = np.concatenate([[0], ends[:-1]])
-        keys, nulls = file.keys()
-        first = 0
-        while first < file.n:
-            last = max(first + 1, min(first + 4096, int(np.searchsorted(ends, starts[first] + 1_000_000, "right"))))
-            base = int(starts[first])
-            ids = file.ids(base, int(ends[last - 1])).astype("<u4")
-            crcs = [zlib.crc32(ids[a - base : b - base]) for a, b in zip(starts[first:last].tolist(), ends[first:last].tolist(), strict=True)]
-            columns = [pa.array(keys[first:last], pa.int64(), mask=nulls[first:last]), pa.array(starts[first:last] + partition.start), pa.array(ends[first:last] - starts[first:last]), pa.array(crcs, pa.int64())]
+        for first, cuts in file.runs(RUN_DOCUMENTS, RUN_TOKENS):
+            keys, nulls = file.keys(first, first + len(cuts) - 1)
+            ids = file.ids(int(cuts[0]), int(cuts[-1])).astype("<u4")
+            places = (cuts - cuts[0]).tolist()
+            crcs = [zlib.crc32(ids[a:b]) for a, b in zip(places, places[1:], strict=False)]
+            columns = [pa.array(keys, pa.int64(), mask=nulls), pa.array(cuts[:-1] + partition.start), pa.array(np.diff(cuts)), pa.array(crcs, pa.int64())]
             names = ["doc_id", "start", "n_tokens", "ids_crc32"]
             if self.with_ids:
-                offsets = pa.array(np.concatenate([[0], ends[first:last] - base]).astype(np.int32))
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int64))))
+                columns.append(pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids.astype(np.int64))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
-            first = last
 
 
 class TokenFileSource(DataSource):
@@ -243,14 +269,25 @@ class TokenFileSource(DataSource):
         return TokenFileWriter(dict(self.options))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced: bool = True, width: int = 2, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
+def id_width(tokenizer: str, end_id: int) -> int:
+    """The bytes that every id of the vocabulary and the end id need: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    most = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+    return 2 if most < 1 << 16 else 4
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced: bool = True, width: int | None = None, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
     """Writes the ids of every whole text and the end id, in ascending order of ``key`` over all files.
 
-    A null text is one without words; a null key sorts first; equal keys stay together in one file, in the order of
-    their texts; an empty table gives a manifest without files; other columns are not read.
+    ``width`` is the bytes of an id, by the vocabulary if it isn't given; an id that doesn't fit is an error. Keys are
+    whole numbers of 64 bits. A null text is one without words; a null key sorts first; equal keys stay together in one
+    file, in the order of their texts; an empty table gives a manifest without files; other columns are not read. A
+    text is held whole while it is encoded, so the longest one bounds a task's memory.
     """
     from pyspark.sql import functions as F
 
+    width = id_width(tokenizer, end_id) if width is None else width
     docs.sparkSession.dataSource.register(TokenFileSource)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")

@@ -22,13 +22,16 @@ class TextEncoder:
     single line end, that stand between other characters. A text with any other white space is encoded as one.
     A piece of letters alone is one pre-token and goes to the tokenizer's model; others go to the whole tokenizer.
     ``spaced`` tells that a space belongs to the word after it (byte-level vocabularies); otherwise white space is dropped.
+    A mark like ``<|endoftext|>`` in a text gets the id that the library gives it; with ``plain_marks`` it is text.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, plain_marks: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_marks
+        # Marks are looked for before a text is cut, and may stand inside of what would be a piece.
+        self.found_whole = [] if plain_marks else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.tokenize, self.normalizer = self.tokenizer.model.tokenize, self.tokenizer.normalizer
         self.line_end = self._whole("\n") if spaced else b""
@@ -81,7 +84,7 @@ class TextEncoder:
         heads: set[str] = set()
         rest: set[str] = set()
         for text in texts:
-            if not text:
+            if not text or any(mark in text for mark in self.found_whole):
                 cut.append(None)
                 continue
             lines = [line.split(" ") for line in text.split("\n")]
@@ -94,7 +97,7 @@ class TextEncoder:
         out, first, later = [], self.first, self.later
         for text, lines in zip(texts, cut, strict=True):
             if lines is None:
-                out.append(b"")
+                out.append(self._whole(text) if text else b"")
                 continue
             try:
                 out.append(self.line_end.join([first[w[0]] + b"".join([later[x] for x in w[1:]]) for w in lines]))
