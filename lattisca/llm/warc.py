@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from lattisca.llm.common import shared_path, table
+from lattisca.llm.common import durable, join_split, shared_path, table
 
 SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, payload_bytes long, refers_to string, page_id long, content_length long, file string, offset long"
 SCHEMA_PAYLOAD = SCHEMA + ", payload binary"
@@ -28,8 +28,14 @@ FROM_HEADERS = ("record_type", "record_id", "target_uri", "payload_digest", "ref
 DATE = "2020-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CHUNK = 1 << 18
+#: Bytes of a member that are fed at once, and decoded at first.
+STEP, HEAD = 1 << 14, 1 << 11
+#: How a gzip member begins that has an extra field, and that field where it holds both lengths of the member.
+MEMBER, LENGTHS = b"\x1f\x8b\x08\x04", b"\x0c\x00sl\x08\x00"
 #: A task takes whole files up to so many bytes.
 PARTITION_BYTES = 64 << 20
+#: Digests of repeated payloads that are broadcast at most (20 bytes and a number each); more are joined by a shuffle.
+BROADCAST_DIGESTS = 500_000
 
 
 def _fs(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -61,6 +67,24 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, record_t
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
+def info_record(file: str) -> bytes:
+    """What an archive begins with: a ``warcinfo`` that names it."""
+    block = b"software: lattisca\r\nformat: WARC File Format 1.1\r\n"
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:x-file:{file}>"), ("WARC-Date", DATE), ("WARC-Filename", file), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def gzip_member(record: bytes) -> bytes:
+    """A record as a gzip member of its own whose extra field tells how long it is, packed and not."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(record) + packer.flush()
+    tail = zlib.crc32(record).to_bytes(4, "little") + (len(record) & 0xFFFFFFFF).to_bytes(4, "little")
+    size = 24 + len(body) + 8
+    if max(size, len(record)) >> 32:  # no room for the lengths
+        return b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff" + body + tail
+    return MEMBER + b"\x00\x00\x00\x00\x00\xff" + LENGTHS + size.to_bytes(4, "little") + len(record).to_bytes(4, "little") + body + tail
+
+
 class _Done(WriterCommitMessage):
     def __init__(self, file: str | None, size: int):
         self.file, self.size = file, size
@@ -79,16 +103,14 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(place, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip
         out, size = None, 0
+        pack = gzip_member if self.gzip else bytes
         for batch in iterator:
             if batch.num_rows and out is None:
                 out = fs.open_output_stream(f"{place}/{name}", compression=None)
-            for who, url, html, sha1, kind, of in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_sha1", "record_type", "refers_to")), strict=True):
-                record = encode_record(who, url, html or b"", kind, of, base64.b32encode(bytes.fromhex(sha1)).decode())
-                if self.gzip:  # a member for each record
-                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    record = packer.compress(record) + packer.flush()
-                out.write(record)
-                size += len(record)
+                size = out.write(pack(info_record(name)))
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "payload_sha1", "record_type", "refers_to")), strict=True):
+                who, url, html, sha1, kind, of = (x.as_py() for x in row)
+                size += out.write(pack(encode_record(who, url, html or b"", kind, of, base64.b32encode(sha1).decode())))
         if out is None:
             return _Done(None, 0)
         out.close()
@@ -108,68 +130,101 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class _Source:
-    """Bytes of an archive, plain or gzip, with a skip that does not keep what it passes."""
+    """Bytes of an archive, plain or gzip, with a skip that does not keep what it passes. A gzip member that tells its own
+    length (``gzip_member``) is left undecoded where it is skipped to its end."""
 
     def __init__(self, file: pa.NativeFile, gzip: bool):
-        self.file, self.gzip, self.buffer, self.at = file, gzip, b"", 0
-        self.unpacker = zlib.decompressobj(31) if gzip else None
-        self.raw = b""
+        self.file, self.gzip = file, gzip
+        self.buffer, self.pos, self.at = b"", 0, 0  # decoded bytes, how many of them are passed, and all that are
+        self.raw, self.raw_pos, self.raw_at = b"", 0, 0  # compressed bytes, how many are used, and the first one's place
+        self.unpacker = None
+        self.decoded = 0
+        self.member: tuple[int, int] | None = None  # where the next one begins in the file, and in what is decoded
+
+    def _begin(self) -> None:
+        if len(self.raw) - self.raw_pos < 24:
+            self.raw, self.raw_at, self.raw_pos = self.raw[self.raw_pos :] + self.file.read(CHUNK), self.raw_at + self.raw_pos, 0
+        head = self.raw[self.raw_pos : self.raw_pos + 24]
+        self.unpacker, self.member = zlib.decompressobj(31), None
+        if head[:4] == MEMBER and head[10:16] == LENGTHS:
+            size, plain = (int.from_bytes(head[k : k + 4], "little") for k in (16, 20))
+            self.member = (self.raw_at + self.raw_pos + size, self.decoded + plain)
+
+    def _decode(self) -> bytes:
+        while True:
+            if self.raw_pos == len(self.raw):
+                self.raw, self.raw_at, self.raw_pos = self.file.read(CHUNK), self.raw_at + len(self.raw), 0
+                if not self.raw:
+                    if self.unpacker is not None:
+                        raise ValueError("the archive ends inside a record")
+                    return b""
+            most = CHUNK
+            if self.unpacker is None:
+                self._begin()
+                most = HEAD  # often no more than the header is wanted
+            piece = self.raw[self.raw_pos : self.raw_pos + STEP]
+            data = self.unpacker.decompress(piece, most)
+            self.raw_pos += len(piece) - len(self.unpacker.unused_data if self.unpacker.eof else self.unpacker.unconsumed_tail)
+            if self.unpacker.eof:
+                self.unpacker = None
+            if data:
+                self.decoded += len(data)
+                return data
 
     def _more(self) -> bool:
-        if not self.gzip:
-            data = self.file.read(CHUNK)
-        else:
-            data = b""
-            while not data:
-                if self.unpacker.eof:
-                    self.raw, self.unpacker = self.unpacker.unused_data, zlib.decompressobj(31)
-                if not self.raw:
-                    self.raw = self.file.read(CHUNK)
-                if not self.raw:
-                    return False
-                data = self.unpacker.decompress(self.raw, CHUNK)
-                self.raw = self.unpacker.unconsumed_tail
-        self.buffer += data
+        data = self._decode() if self.gzip else self.file.read(CHUNK)
+        self.buffer, self.pos = self.buffer[self.pos :] + data, 0
         return bool(data)
 
     def until(self, mark: bytes) -> bytes | None:
         """What comes before ``mark``, which is passed too; None at the end of the archive."""
-        seen = 0
+        seen = self.pos
         while (i := self.buffer.find(mark, seen)) < 0:
-            seen = max(0, len(self.buffer) - len(mark) + 1)
+            seen = max(0, len(self.buffer) - self.pos - len(mark) + 1)
             if not self._more():
-                if self.buffer.strip():
+                if self.buffer[self.pos :].strip():
                     raise ValueError("the archive ends inside a record's header")
                 return None
-        out, self.buffer = self.buffer[:i], self.buffer[i + len(mark) :]
+        out = self.buffer[self.pos : i]
+        self.pos = i + len(mark)
         self.at += len(out) + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.buffer], len(self.buffer)
+        parts, have = [self.buffer[self.pos :]], len(self.buffer) - self.pos
         while have < n:
-            self.buffer = b""
+            self.buffer, self.pos = b"", 0
             if not self._more():
                 raise ValueError("the archive ends inside a record")
             parts.append(self.buffer)
             have += len(self.buffer)
-        data = b"".join(parts)
-        out, self.buffer = data[:n], data[n:]
+        self.pos = len(self.buffer) - (have - n)
         self.at += n
-        return out
+        return b"".join(parts)[:n]
 
     def skip(self, n: int) -> None:
         self.at += n
-        if not self.gzip and n > len(self.buffer):
-            self.file.seek(self.file.tell() + n - len(self.buffer))
-            self.buffer = b""
+        left = n - (len(self.buffer) - self.pos)
+        if left <= 0:
+            self.pos += n
             return
-        while n > len(self.buffer):
-            n -= len(self.buffer)
-            self.buffer = b""
-            if not self._more():
-                raise ValueError("the archive ends inside a record")
-        self.buffer = self.buffer[n:]
+        self.buffer, self.pos = b"", 0
+        if not self.gzip:
+            self.file.seek(self.file.tell() + left)
+        elif self.unpacker is not None and self.member is not None and self.member[1] == self.at:
+            place = self.member[0]
+            if place <= self.raw_at + len(self.raw):
+                self.raw_pos = place - self.raw_at
+            else:
+                self.file.seek(place)
+                self.raw, self.raw_pos, self.raw_at = b"", 0, place
+            self.unpacker, self.decoded = None, self.at
+        else:
+            while left > 0:
+                if not self._more():
+                    raise ValueError("the archive ends inside a record")
+                step = min(left, len(self.buffer))
+                self.pos, left = step, left - step
 
 
 def _page(uri: str | None) -> int | None:
@@ -177,8 +232,9 @@ def _page(uri: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def read_records(file: pa.NativeFile, name: str, gzip: bool, wanted: dict[str, set], payloads: bool) -> Iterator[tuple]:
-    """Headers first; a record that the filters reject, or whose payload isn't wanted, has its block skipped."""
+def read_records(file: pa.NativeFile, name: str, gzip: bool, wanted: dict[str, set], payloads: bool, present: Iterable[str] = ()) -> Iterator[tuple]:
+    """Headers first; a record that the filters reject (``wanted`` values, ``present`` fields), or whose payload isn't
+    wanted, has its block skipped."""
     source = _Source(file, gzip)
     while True:
         at = source.at
@@ -195,7 +251,7 @@ def read_records(file: pa.NativeFile, name: str, gzip: bool, wanted: dict[str, s
             "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in fields else None,
             "refers_to": fields.get("warc-refers-to"), "page_id": _page(fields.get("warc-record-id")),
         }
-        if any(row[c] not in some for c, some in wanted.items()):
+        if any(row[c] not in some for c, some in wanted.items()) or any(row[c] is None for c in present):
             source.skip(length + 4)
             continue
         size = int(fields["x-payload-length"]) if "x-payload-length" in fields else None
@@ -224,16 +280,17 @@ class WarcReader(DataSourceReader):
         self.path, self.schema = options["path"], schema
         self.payloads = "payload" in schema.fieldNames()
         self.wanted: dict[str, set] = {}
+        self.present: set[str] = set()
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Equality and IN on header fields are settled here; the others go back to Spark."""
+        """Equality, IN and presence of header fields are settled here; the others go back to Spark."""
         for f in filters:
             if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in FROM_HEADERS:
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                values = ({f.value} if isinstance(f, EqualTo) else set(f.value)) - {None}  # null equals nothing
                 c = f.attribute[0]
                 self.wanted[c] = self.wanted[c] & values if c in self.wanted else values
-            elif isinstance(f, IsNotNull) and f.attribute == ("record_type",):
-                pass
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1 and f.attribute[0] in FROM_HEADERS:
+                self.present.add(f.attribute[0])
             else:
                 yield f
 
@@ -265,7 +322,7 @@ class WarcReader(DataSourceReader):
         for name in partition.value:
             rows, size = [], 0
             with fs.open_input_file(f"{place}/{name}") as file:
-                for row in read_records(file, name, name.endswith(".gz"), self.wanted, self.payloads):
+                for row in read_records(file, name, name.endswith(".gz"), self.wanted, self.payloads, self.present):
                     rows.append(row)
                     size += 200 + (len(row[-1] or b"") if self.payloads else 0)
                     if size > 4 << 20:
@@ -293,18 +350,26 @@ class WarcSource(DataSource):
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, key: str = "page_id", url: str = "url", html: str = "html", compression: str = "none") -> None:
-    """A record per row. Of equal payloads of at least ``min_bytes`` the one with the smallest key is a response, the others
-    revisit it; smaller ones are all responses.
+    """A record per row, behind a ``warcinfo`` in each file. Of equal payloads of at least ``min_bytes`` the one with the
+    smallest key is a response, the others revisit it; smaller ones are all responses.
+
+    Keys are whole numbers of 64 bits. A null html is an empty payload; a null url has no target line; a null key sorts
+    behind all others; rows that repeat the smallest key are responses each; other columns are not read; an empty table
+    gives a manifest alone.
 
-    A null html is an empty payload; a null url has no target line; a null key sorts behind all others; rows that
-    repeat the smallest key are responses each; other columns are not read; an empty table gives a manifest alone.
+    Digests alone are shuffled, those that come twice or more are broadcast, and payloads are written where they
+    were read, however common one of them is. Beyond BROADCAST_DIGESTS, the keys of revisits are joined instead.
     """
     pages.sparkSession.dataSource.register(WarcSource)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("payload_sha1", F.sha1("payload"))
-    # Only groups of two and more travel; texts stay where they were read unless their group does.
-    firsts = rows.where(F.octet_length("payload") >= min_bytes).groupBy("payload_sha1").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    met = rows.join(firsts, "payload_sha1", "left")
+    rows = rows.withColumn("payload_sha1", F.unhex(F.sha1("payload")))
+    digests = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "payload_sha1")
+    firsts = durable(digests.groupBy("payload_sha1").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null").drop("_n"))
+    if firsts.count() <= BROADCAST_DIGESTS:
+        met = rows.join(F.broadcast(firsts), "payload_sha1", "left")
+    else:
+        revisits = join_split(digests, firsts, ["payload_sha1"]).where(~F.col("page_id").eqNullSafe(F.col("_first"))).select(F.col("page_id").alias("_id"), F.col("payload_sha1").alias("_sha1"), "_first").distinct()
+        met = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_sha1") == F.col("_sha1")), "left")
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     out = met.select("page_id", "url", "payload", "payload_sha1", F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
     out.write.format("lattisca_warc").mode("append").options(path=path, compression=compression).save()
@@ -319,5 +384,5 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path, compression="gzip")
-    back = read_warc(spark, path, payload=True)
+    back = read_warc(spark, path).where(F.col("record_type").isin("response", "revisit"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", F.regexp_extract("refers_to", r"(-?\d+)>", 1).cast("long").alias("refers_to"))
