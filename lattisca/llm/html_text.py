@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,8 +42,10 @@ PLACES = frozenset("banner notice notices alert sidebar sidebars menu menus nav
 CONTAINERS = frozenset("main content wrapper wrap container layout page site body article post entry with has no left right".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*[^>]*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S | re.I)
-_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Every part goes on to its end or to that of the page and gives nothing back, so a page is read once, however broken.
+_INSIDE = r"(?:=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|[^>=]++|=)*+"  # of a tag; quotes count behind an equals sign
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b{_INSIDE}>.*?(?:</\1(?=[\s/>]|\Z)[^>]*+(?:>|\Z)|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_INSIDE})(?:>|\Z)", re.S | re.I)
+_ATTR = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s\"'>]++)))?")
 _PART = re.compile(r"[a-z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -82,6 +85,7 @@ def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with character references decoded and white space as single spaces."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []
+    held: Counter[str] = Counter()  # the stack's tags; closers of others are passed over without a look
     parts: list[str] = []
     links: list[str] = []
     in_link = 0
@@ -124,11 +128,10 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if not block and not m[4]:
                 continue
-            if block and tag != "p":  # a paragraph's end need not be written
+            if block:  # a paragraph's end need not be written
                 while stack and stack[-1][0] == "p":
                     stack.pop()
-            elif tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
+                    held["p"] -= 1
             dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
             if tag in ("article", "main") and not dropped:
                 articles += not article
@@ -138,14 +141,16 @@ def blocks_of(page: str) -> list[Block]:
                 if not block:
                     flush()
                 stack.append((tag, dropped, article))
+                held[tag] += 1
         elif tag == "a":
             in_link = max(0, in_link - 1)
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if not block:
-                        flush()
-                    del stack[k:]
+        elif held[tag]:
+            if not block:
+                flush()
+            while stack:
+                last = stack.pop()[0]
+                held[last] -= 1
+                if last == tag:
                     break
     if at < len(page):
         parts.append(page[at:])
@@ -225,8 +230,9 @@ def extract_text(pages: DataFrame, page: str = "html", keep: list[str] | None =
     """Adds text and n_chars (its code points) to the columns ``keep`` (all but the page) of ``pages``; own columns of those
     names go.
 
-    Null, empty and textless pages give an empty text; broken mark-up is read as far as it goes; repeated rows are
-    read each; an empty table gives none.
+    Null, empty and textless pages give an empty text; broken mark-up is read as far as it goes, an unclosed tag or quoted
+    value to the end of the page; a very long page takes time in proportion; repeated rows are read each; an empty table
+    gives none.
     """
     keep = [c for c in ([c for c in pages.columns if c != page] if keep is None else keep) if c not in ("text", "n_chars")]
     rows, kept = with_text(pages, page, keep)
