@@ -1,4 +1,9 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised windows of the test items."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised passages of the test items.
+
+The automaton holds every item's grams of GRAM words at steps that leave no window without a whole one, and short items as they
+are. A gram that is found is followed on both sides along the item, so each window is compared in full and each text
+scanned once, while the automaton is no larger than the items.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import hold, table, with_text
+from lattisca.llm.common import Scratch, durable, hold, table, with_text
 
 WINDOW = 10
-#: Characters of items that one automaton takes (about 60 bytes of a worker's memory for each window character). Larger
-#: benchmarks are dealt over several automata, and each is run over the documents.
-AUTOMATON_CHARS = 400_000
+GRAM = 5
+#: Characters of items that one automaton takes (about 60 bytes of a worker's memory for each). The driver asks for their number
+#: before it reads any; a larger benchmark is run over the documents in lots, one after the other.
+AUTOMATON_CHARS = 3_000_000
 
 #: Bytes to what they are in normalised text: A-Z in lower case, other ASCII that is no letter or digit a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -31,12 +37,13 @@ class Contamination:
     def __init__(self, items: list[tuple[str, str]], window: int):
         import ahocorasick
 
-        owners: dict[bytes, set[int]] = {}
-        self.names = [name for name, _ in items]
-        for k, (_, text) in enumerate(items):
-            words = words_of(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners.setdefault(b" ".join(words[i : i + window]), set()).add(k)
+        self.names, self.window, self.items = [name for name, _ in items], window, [words_of(text) for _, text in items]
+        gram = min(GRAM, window)
+        owners: dict[bytes, list[tuple[int, int]]] = {}
+        for k, words in enumerate(self.items):
+            size = gram if len(words) >= window else len(words)
+            for i in range(0, len(words) - size + 1, window - gram + 1) if words else ():
+                owners.setdefault(b" ".join(words[i : i + size]), []).append((k, i))
         self.owners = list(owners.values())
         self.automaton = ahocorasick.Automaton()
         for n, pattern in enumerate(owners):
@@ -54,16 +61,35 @@ class Contamination:
         if not found:
             return len(words), [], set()
         spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
-        runs: list[list[int]] = []
-        names: set[str] = set()
         starts = np.searchsorted(spaces, [end - size + 1 for end, (_, _, size) in found]).tolist()
-        for first, (_, (n, count, _)) in sorted(zip(starts, found, strict=True), key=lambda x: x[0]):
-            names.update(self.names[k] for k in self.owners[n])
-            if runs and first <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], first + count)
-            else:
-                runs.append([first, first + count])
-        return len(words), [(a, b) for a, b in runs], names
+        runs: list[tuple[int, int]] = []
+        names: set[str] = set()
+        passed: dict[tuple[int, int], int] = {}  # by item and shift: how far it was followed
+        for at, (_, (n, count, _)) in sorted(zip(starts, found, strict=True), key=lambda x: x[0]):
+            for k, i in self.owners[n]:
+                if passed.get((k, at - i), -1) >= at + count:
+                    continue
+                item = self.items[k]
+                first, behind = 0, count
+                while first < min(at, i) and words[at - first - 1] == item[i - first - 1]:
+                    first += 1
+                while at + behind < len(words) and i + behind < len(item) and words[at + behind] == item[i + behind]:
+                    behind += 1
+                passed[k, at - i] = at + behind
+                if first + behind >= min(self.window, len(item)):
+                    names.add(self.names[k])
+                    runs.append((at - first, at + behind))
+        return len(words), merged(runs), names
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -80,17 +106,19 @@ _BUILT: dict[tuple[str, int], Contamination] = {}
 
 
 def _built(items: list[tuple[str, str]], digest: str, window: int) -> Contamination:
+    """One automaton at a time in a worker."""
     hold("contamination", _BUILT.clear)
     if (digest, window) not in _BUILT:
+        _BUILT.clear()
         _BUILT[digest, window] = Contamination(items, window)
     return _BUILT[digest, window]
 
 
-def _batches(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+def _lots(items: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
     """The items, in lots whose texts have at most ``limit`` characters (or one item)."""
     lot: list[tuple[str, str]] = []
     size = 0
-    for name, body in benchmark.select(F.col(item).cast("string"), F.col(text)).where(F.col(item).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
+    for name, body in items.toLocalIterator():
         if lot and size + len(body) > limit:
             yield lot
             lot, size = [], 0
@@ -99,48 +127,80 @@ def _batches(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator
     yield lot
 
 
+HITS = "runs array<struct<first:long,behind:long>>, names array<string>"
+
+
+def _hits(rows: DataFrame, lot: list[tuple[str, str]], window: int) -> DataFrame:
+    """(_row, runs, names) of the rows (_row, text) with hits of the lot's items."""
+    digest = hashlib.sha256(repr(lot).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            automaton = _built(lot, digest, window)
+            found = [automaton.scan(t.as_py()) for t in batch.column(1)]
+            at = [i for i, f in enumerate(found) if f[1]]
+            runs = pa.array([[{"first": a, "behind": b} for a, b in found[i][1]] for i in at], pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), runs, pa.array([sorted(found[i][2]) for i in at], pa.list_(pa.string()))], names=["_row", "runs", "names"])
+
+    return rows.mapInArrow(run, f"_row long, {HITS}")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, spans: bool = False) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated; with ``spans`` also the hit places in the text.
 
     A word is hit if an occurrence of an item's window covers it. Null or empty texts have no words and aren't
-    contaminated; items without words or id have no windows; repeated items count once; a repeated document has a row each;
-    an empty benchmark contaminates nothing. ``keep`` names columns of ``docs`` to carry along.
+    contaminated; a long text is scanned whole; items without words or id have no windows; repeated items count once; a
+    repeated document has a row each; an empty benchmark contaminates nothing. ``keep`` names columns of ``docs`` to carry along.
     """
-    lots = list(_batches(benchmark, item, item_text, AUTOMATON_CHARS))
-    digests = [hashlib.sha256(repr(lot).encode("utf-8", "surrogatepass")).hexdigest() for lot in lots]
+    items = benchmark.select(F.col(item).cast("string").alias("name"), F.col(item_text).alias("body")).where("name is not null and body is not null")
     keep = [c for c in keep or [] if c not in (key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")]
     extra = ", spans array<struct<first:long,behind:long>>" if spans else ""
     rows, kept = with_text(docs, text, [key, *keep])
     keep = kept.fieldNames()
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{extra}"
+    body_at = len(rows.columns) - 1  # the text, among those kept or behind them
+
+    def figures(batch: pa.RecordBatch, bodies: list[str | None], found: list[tuple[int, list[tuple[int, int]], set[str]]]) -> pa.RecordBatch:
+        out = []
+        for body, (n, runs, names) in zip(bodies, found, strict=True):
+            places = [[{"first": a, "behind": b} for a, b in original_spans(body, runs)] if runs else []] if spans else []
+            out.append((n, sum(b - a for a, b in runs), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(runs), *places))
+        cols = list(zip(*out, strict=True)) or [[]] * (6 if spans else 5)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *([pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))] if spans else [])]
+        names_ = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["spans"] if spans else [])]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[*keep, *names_])
+
+    if (items.agg(F.sum(F.length("body"))).first()[0] or 0) <= AUTOMATON_CHARS:
+        lot = [(r.name, r.body) for r in items.collect()]
+        digest = hashlib.sha256(repr(lot).encode("utf-8", "surrogatepass")).hexdigest()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                automaton, bodies = _built(lot, digest, window), batch.column(body_at).to_pylist()
+                yield figures(batch, bodies, [automaton.scan(body) for body in bodies])
+
+        return rows.mapInArrow(run, schema)
+
+    scratch = Scratch(docs.sparkSession)
+    numbered = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
+    hits = None
+    for lot in _lots(items, AUTOMATON_CHARS):
+        part = scratch.keep(_hits(numbered.select("_row", rows.columns[body_at]), lot, window))
+        hits = part if hits is None else hits.union(part)
+    each = durable(hits.groupBy("_row").agg(F.flatten(F.collect_list("runs")).alias("_runs"), F.flatten(F.collect_list("names")).alias("_names")))
+    scratch.drop()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch.column(batch.num_columns - 1).to_pylist()
-            counts, all_runs, all_names = [0] * len(bodies), [[] for _ in bodies], [set() for _ in bodies]
-            for lot, lot_digest in zip(lots, digests, strict=True):  # an automaton is built once for a whole batch
-                automaton = _built(lot, lot_digest, window)
-                for i, body in enumerate(bodies):
-                    counts[i], runs, names = automaton.scan(body)
-                    all_runs[i] += runs
-                    all_names[i] |= names
-            found: list[tuple] = []
-            for body, n, runs, names in zip(bodies, counts, all_runs, all_names, strict=True):
-                merged: list[tuple[int, int]] = []
-                for a, b in sorted(runs):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                    else:
-                        merged.append((a, b))
-                digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-                places = [[{"first": a, "behind": b} for a, b in original_spans(body, merged)] if merged else []] if spans else []
-                found.append((n, sum(b - a for a, b in merged), len(names), digest, bool(merged), *places))
-            cols = list(zip(*found, strict=True)) or [[]] * (6 if spans else 5)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *([pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))] if spans else [])]
-            names_ = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["spans"] if spans else [])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[*keep, *names_])
-
-    return rows.mapInArrow(run, f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{extra}")
+            bodies = batch.column(body_at).to_pylist()
+            found = [
+                (len(words_of(body)), merged([(x["first"], x["behind"]) for x in runs or []]), set(names or []))
+                for body, runs, names in zip(bodies, batch.column(body_at + 1).to_pylist(), batch.column(body_at + 2).to_pylist(), strict=True)
+            ]
+            yield figures(batch, bodies, found)
+
+    return numbered.join(each, "_row", "left").select(*[F.col(f"`{c}`") for c in rows.columns], "_runs", "_names").mapInArrow(join, schema)
 
 
 def op9_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
