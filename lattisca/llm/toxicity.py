@@ -23,6 +23,8 @@ PER_LABEL = 2000
 CONTEXT = 6
 #: Distinct words whose verdict a worker keeps; beyond, it starts anew. Speed only.
 KEPT_WORDS = 300_000
+#: States of an automaton that a worker keeps; beyond, it starts anew. Speed only.
+KEPT_STATES = 200_000
 #: A term's or stem's share among toxic texts must be so many times that among others.
 MIN_RATIO = 15.0
 
@@ -54,6 +56,9 @@ class LexiconAutomaton:
             self.end[at] = edits_for(term)
         for term in stems:
             self.stem[self._insert(term, 0)] = True
+        self._begin()
+
+    def _begin(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -112,6 +117,8 @@ class LexiconAutomaton:
         return found
 
     def match(self, word: str) -> int | None:
+        if len(self.states) > KEPT_STATES:
+            self._begin()
         state, steps, dead = self.start, self.steps, self.dead
         for c in word:
             after = steps[state].get(c)
@@ -178,7 +185,7 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[list[str], list[
             p = max(longer, key=lambda q: (begun[1][q], q))
         if len(p) >= 4 and not any(p.startswith(s) for s in stems):
             stems.append(p)
-    return [t for t in terms if not any(t.startswith(s) for s in stems)], stems
+    return terms, stems
 
 
 @dataclass
