@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lattisca.llm.common import shared_path, table
 from lattisca.llm.contamination import find_contamination
 from lattisca.llm.language import MIN_SCORE, fit_language_model, identify_language
-from lattisca.llm.near_dup import near_duplicates
+from lattisca.llm.near_dup import deduplicate
 from lattisca.llm.packing import pack
 from lattisca.llm.toxicity import fit_toxicity_model, score_toxicity
 
@@ -35,11 +35,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, once if its row is repeated."""
-    found = near_duplicates(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    once = docs.join(found.where("_n = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(found.where("_n > 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again).union(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near copies the document with the smallest id stays, once if its row is repeated; documents without
+    id, text or words stay, and so do other texts under a repeated id. An empty table stays empty."""
+    return deduplicate(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
