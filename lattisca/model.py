@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattisca.operators import edges as E
+from lattisca.shared import ranked
 
 
 @dataclass(frozen=True)
 class GraphCollection:
     """``graphs`` (graph, attributes), ``nodes`` (graph, node, ...), ``edges`` (graph, src, dst, label, ...) and, if there are
-    any, ``distances`` (metric, i, j, distance), i < j by graph. Operations give new collections and run nothing."""
+    any, ``distances`` (metric, i, j, distance), i < j by graph. Operations give new collections and run nothing, but for ``indexed``."""
 
     graphs: DataFrame
     nodes: DataFrame
@@ -85,6 +86,31 @@ class GraphCollection:
         idx = F.row_number().over(Window.orderBy("wish")) - 1  # as many rows as the list has names
         return replace(self.keep(chosen), graphs=chosen.withColumn("idx", idx.cast("long")).drop("wish"))
 
+    def item(self, name) -> GraphCollection:  # noqa: ANN001
+        """The graph of a name."""
+        return self.keep(self.graphs.where(F.col("graph") == F.lit(name)))
+
+    def indexed(self) -> GraphCollection:
+        """With ``idx``: the graphs' places by name, from 0."""
+        return replace(self, graphs=ranked(self.graphs, ["graph"], "idx"))
+
+    def head(self, n: int = 50) -> GraphCollection:
+        """The first graphs by name, for trying things out."""
+        first = self.graphs.select("graph").orderBy("graph").limit(n)
+        return self.keep(first)
+
+    def to_memory(self) -> GraphCollection:
+        """Kept by the executors once it is computed; what doesn't fit goes to their disks."""
+        d = self.distances
+        return GraphCollection(self.graphs.persist(), self.nodes.persist(), self.edges.persist(), d if d is None else d.persist())
+
+    def inconsistent(self) -> DataFrame:
+        """(graph, what): graphs without nodes, and edges whose ends are none of their graph's nodes; none if all fits."""
+        empty = self.graphs.select("graph").join(self.nodes.select("graph").distinct(), "graph", "left_anti").withColumn("what", F.lit("no nodes"))
+        ends = E.both_ways(self.edges).select("graph", "node").distinct()
+        lost = ends.join(self.nodes.select("graph", "node"), ["graph", "node"], "left_anti").select("graph").distinct().withColumn("what", F.lit("unknown ends"))
+        return empty.union(lost)
+
     def transform(self, *steps: Callable[[GraphCollection], GraphCollection]) -> GraphCollection:
         out = self
         for step in steps:

@@ -179,6 +179,16 @@ def memoised_edit_distance(pairs: DataFrame, one: str, two: str, graphlets: Data
     return out.withColumn("similarity", F.exp(-beta * F.col("ged")))
 
 
+def distance(one: str, two: str) -> float:
+    """The published distance of two pair geometries."""
+    return float(_TABLE[_place(one), _place(two)])
+
+
+def label_table(labels: list[str]) -> list[tuple[str, str, float]]:
+    """(one, two, similarity) of all pairs of the labels, by the published distances."""
+    return [(a, b, isostericity(a, b)) for a in labels for b in labels]
+
+
 def kernel_matrix(rings: DataFrame, kernel: RingKernel, most: int | None = None, seed: int = 0) -> DataFrame:
     """(graph, a, b, similarity), a < b, of each graph's residues; ``most`` keeps so many of a graph, by hash, where asked for."""
     from pyspark.sql.window import Window

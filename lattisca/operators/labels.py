@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattisca.shared import ranked
+
 
 def frequent(members: DataFrame, more_than: int, less_than: int) -> DataFrame:
     """(term, n) of terms on more than and less than so many distinct items. ``members`` is (id, term)."""
@@ -35,8 +37,8 @@ def uncorrelated(members: DataFrame, limit: float = 0.9) -> DataFrame:
 
 
 def label_codes(members: DataFrame) -> DataFrame:
-    """(term, code): terms in order, from 0. Terms are few once they are cut; the window has a row for each."""
-    return members.select("term").distinct().withColumn("code", (F.row_number().over(Window.orderBy("term")) - 1).cast("long"))
+    """(term, code): terms in order, from 0."""
+    return ranked(members.select("term").distinct(), ["term"], "code").select("term", "code")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
@@ -57,7 +59,25 @@ def pocket_pairs(groups: DataFrame) -> DataFrame:
     return groups.select("pocket", F.explode(both).alias("p")).select("pocket", "p.*")
 
 
-def dictionary(values: DataFrame, column: str, order: str) -> DataFrame:
-    """(value, code): distinct values by where they come first."""
-    first = values.groupBy(F.col(column).alias("value")).agg(F.min(order).alias("first"))
-    return first.withColumn("code", (F.row_number().over(Window.orderBy("first", "value")) - 1).cast("long")).select("value", "code")
+def dictionary(values: DataFrame, column: str, order: str, by: list[str] | None = None) -> DataFrame:
+    """(by, value, code): distinct values by where they come first, in each group of ``by`` or over all rows."""
+    first = values.groupBy(*(by or []), F.col(column).alias("value")).agg(F.min(order).alias("first"))
+    if not by:
+        return ranked(first, ["first", "value"], "code").select("value", "code")
+    code = F.row_number().over(Window.partitionBy(*by).orderBy("first", "value")) - 1
+    return first.withColumn("code", code.cast("long")).select(*by, "value", "code")
+
+
+def encoded(values: DataFrame, column: str, codes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``values`` with the code in place of the value; ``decoded`` turns it round."""
+    return values.withColumnRenamed(column, "value").join(codes, [*(by or []), "value"]).drop("value")
+
+
+def decoded(coded: DataFrame, column: str, codes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return coded.join(codes, [*(by or []), "code"]).drop("code").withColumnRenamed("value", column)
+
+
+def over(members: DataFrame, more_than: int) -> DataFrame:
+    """Members whose term more than so many items have."""
+    kept = members.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than).select("term")
+    return members.join(kept, "term", "left_semi")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lattisca.operators.split import hash_unit
+from lattisca.shared import running_sum
+
 
 def confusion(rows: DataFrame, label: str, pred: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, label, pred, n)."""
@@ -50,8 +53,11 @@ def roc_auc(rows: DataFrame, label: str, score: str, keys: list[str] | None = No
     that only distinct scores are put in order."""
     keys = keys or []
     at = rows.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    below = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    met = at.withColumn("_before", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    if keys:
+        below = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        met = at.withColumn("_before", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    else:
+        met = running_sum(at, ["_s"], F.col("neg"), "_before")
     found = met.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("_before") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return found.select(*keys, F.when(F.col("p") * F.col("q") > 0, F.col("wins") / (F.col("p") * F.col("q"))).alias("auc"))
 
@@ -64,3 +70,15 @@ def early_stop(rows: DataFrame, keys: list[str], order: str, loss: str, patience
     marked = rows.withColumn("best", F.min(loss).over(before)).withColumn("step", step.cast("long"))
     better = marked.withColumn("_at", F.when(F.col("best").isNull() | (F.col(loss) < F.col("best")), F.col("step")))
     return better.withColumn("since", F.col("step") - F.max("_at").over(through)).drop("_at").withColumn("stopped", F.col("since") >= patience)
+
+
+def dummy_predictions(rows: DataFrame, key: Column, classes: int, seed: int = 0) -> DataFrame:
+    """Adds ``probs``, as good as random but the same at every run, and ``pred``, the likeliest class: what a metric gives for no
+    model at all. One class gives a probability and a prediction by half."""
+    name = key.cast("string")
+    if classes == 1:
+        p = hash_unit(name, seed)
+        return rows.withColumn("probs", F.array(p)).withColumn("pred", (p >= 0.5).cast("int"))
+    raw = F.array(*[hash_unit(name, seed + k) for k in range(classes)])
+    soft = rows.withColumn("_raw", raw).withColumn("probs", F.transform("_raw", lambda x: F.exp(x) / F.aggregate("_raw", F.lit(0.0), lambda s, y: s + F.exp(y))))
+    return soft.withColumn("pred", (F.array_position("_raw", F.array_max("_raw")) - 1).cast("int")).drop("_raw")

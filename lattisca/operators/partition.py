@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lattisca.shared import durable
+from lattisca.operators.local import by_graph
+from lattisca.shared import durable, join_split
 
 
 def by_chain(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,27 +46,52 @@ def chunks(nodes: DataFrame, keys: list[str], size: int) -> DataFrame:
     return nodes.withColumn("chunk", F.floor((rank - 1) / size).cast("long"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(graph, node, component): the smallest node that each end of an edge reaches, whatever the directions.
+def _united(rows: list[tuple]) -> list[tuple]:
+    parent: dict = {}
 
-    Large and small stars in turn: edges hang below ever smaller nodes until each is below its component's smallest. The
-    number of rounds grows with the logarithm of a component's size; each round's edges are written out.
+    def find(x):  # noqa: ANN001, ANN202
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in rows:
+        x, y = find(a), find(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return [(n, find(n)) for n in list(parent)]
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(graph, node, component): the smallest node that each end of an edge reaches, whatever the directions. A graph is
+    bounded, so its edges meet in one task; links without a graph are for ``linked_components``."""
+    kind = edges.schema["src"].dataType.simpleString()
+    ends = edges.where("src <> dst").select("graph", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return by_graph(ends, _united, f"node {kind}, component {kind}")
+
+
+def linked_components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component) for the ends of links (i, j) of any number: large and small stars in turn, until nothing changes.
+
+    Edges hang below ever smaller nodes until each is below its component's smallest. The number of rounds grows with the
+    logarithm of a component's size; each round's edges are written out. If ``rounds`` are given and do not suffice, it is
+    an error.
     """
-    now = durable(edges.select("graph", F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
+    now = durable(links.select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).where("u <> v").distinct())
     seen = None
-    for _ in range(rounds):
-        both = now.union(now.select("graph", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("graph", "u").agg(F.min("v").alias("m")).select("graph", "u", F.least("u", "m").alias("m"))
-        large = both.join(least, ["graph", "u"]).where("v > u").select("graph", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        below = large.groupBy("graph", "u").agg(F.min("v").alias("m"))
-        small = large.join(below, ["graph", "u"]).select("graph", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = durable(small.union(below.select("graph", "u", F.col("m").alias("v"))).distinct())
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("graph", "u", "v").cast("decimal(20,0)"))).first()
+    for _ in itertools.count() if rounds is None else range(rounds):
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = join_split(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        below = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = join_split(large, below, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = durable(small.union(below.select("u", F.col("m").alias("v"))).distinct())
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == seen:
-            break
+            named = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+            return named.union(named.select(F.col("component").alias("node"), "component").distinct())
         seen = mark
-    named = now.groupBy("graph", "u").agg(F.min("v").alias("component")).select("graph", F.col("u").alias("node"), "component")
-    return named.union(named.select("graph", F.col("component").alias("node"), "component").distinct())
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
 def chop(points: np.ndarray, most: int) -> np.ndarray:
@@ -108,3 +135,16 @@ def batches(df: DataFrame, size: int) -> Iterator[pd.DataFrame]:
             kept = []
     if kept:
         yield pd.DataFrame(kept, columns=df.columns)
+
+
+def by_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(graph, node, part) of the residues whose chain is in a group ``A-B-C`` of ``groups`` (graph, chains); the part is the
+    group's name, and a chain may be in several."""
+    wanted = groups.select("graph", F.col("chains").alias("part"), F.explode(F.array_distinct(F.split("chains", "-"))).alias("chain"))
+    return nodes.join(wanted, ["graph", "chain"]).select("graph", "node", "part")
+
+
+def chains_of_size(nodes: DataFrame, least: int = 0, most: int = -1) -> DataFrame:
+    """(graph, chain, n) of the chains with at least ``least`` and at most ``most`` residues; -1 sets no bound."""
+    sizes = nodes.groupBy("graph", "chain").agg(F.countDistinct("node").alias("n"))
+    return sizes.where((F.col("n") >= least) & ((F.lit(most) == -1) | (F.col("n") <= most)))

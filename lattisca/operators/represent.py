@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lattisca.operators.edges import LABELS
+from lattisca.operators.sequence import runs
+from lattisca.shared import ranked
 
 
 def node_index(nodes: DataFrame) -> DataFrame:
@@ -50,8 +52,9 @@ def circular_layout(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("px", F.cos(turn)).withColumn("py", F.sin(turn))
 
 
-def vector_features(points: DataFrame, keys: list[str], k: int) -> tuple[DataFrame, DataFrame]:
-    """Scalar and vector features of nodes and of nearest-neighbour edges, as vector networks take them.
+def vector_features(points: DataFrame, keys: list[str], k: int, between: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scalar and vector features of nodes and of edges, the nearest neighbours or ``between`` (graph, a, b), as vector networks
+    take them.
 
     Nodes: dihedral and angle to the points around, as sine and cosine, logarithm of the step's length, and unit vectors
     forward and backward, zeros at a chain's ends. Edges: radial functions of the distance, positional encoding of the
@@ -75,7 +78,58 @@ def vector_features(points: DataFrame, keys: list[str], k: int) -> tuple[DataFra
     ends = at.select("graph", "node", "x", "y", "z", "rank")
     a = ends.select("graph", F.col("node").alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"], F.col("rank").alias("ra"))
     b = ends.select("graph", F.col("node").alias("b"), *[F.col(c).alias(f"b{c}") for c in "xyz"], F.col("rank").alias("rb"))
-    pairs = knn(points, k).join(a, ["graph", "a"]).join(b, ["graph", "b"])
+    pairs = (knn(points, k) if between is None else between).join(a, ["graph", "a"]).join(b, ["graph", "b"])
     apart = G.length(G.vector("a"), G.vector("b"))
     edges = pairs.select("graph", "a", "b", F.array(*G.rbf(apart), *G.positional((F.col("rb") - F.col("ra")).cast("double"))).alias("scalars"), F.array(*G.unit(G.minus(G.vector("b"), G.vector("a")))).alias("vector"))
     return nodes, edges
+
+
+def sequence_rows(nodes: DataFrame, letter: Column, tolerance: int = 2, x: str | None = None) -> DataFrame:
+    """One row a graph: the longest run of each chain, chains in order, as ``seq``, ``node_names``, ``chain_index`` and, with
+    ``x``, that column's values."""
+    cut = runs(nodes, ["graph", "chain"], tolerance)
+    sizes = cut.groupBy("graph", "chain", "run").agg(F.count(F.lit(1)).alias("_n"))
+    best = sizes.groupBy("graph", "chain").agg(F.max_by("run", F.struct("_n", "run")).alias("run"))
+    value = [F.col(x).alias("x")] if x else []
+    held = cut.join(best, ["graph", "chain", "run"]).select("graph", F.struct("chain", "pos", F.col("node").alias("node"), letter.alias("letter"), *value).alias("s"))
+    packed = held.groupBy("graph").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    names = F.array_distinct(F.transform("s", lambda v: v["chain"]))
+    return packed.select(
+        "graph",
+        F.array_join(F.transform("s", lambda v: v["letter"]), "").alias("seq"),
+        F.transform("s", lambda v: v["node"]).alias("node_names"),
+        F.transform("s", lambda v: (F.array_position(names, v["chain"]) - 1).cast("long")).alias("chain_index"),
+        *([F.transform("s", lambda v: v["x"]).alias("x")] if x else []),
+    )
+
+
+def sequence_edges(sequences: DataFrame, backbone: str = "both") -> DataFrame:
+    """(graph, i, j): neighbours in a chain of ``sequence_rows``, in the direction 5p3p, 3p5p or both."""
+    if backbone not in ("both", "5p3p", "3p5p"):
+        raise ValueError("backbone is both, 5p3p or 3p5p")
+    at = sequences.select("graph", F.posexplode("chain_index").alias("i", "chain"), F.col("chain_index").alias("_c"))
+    follow = at.where(F.get("_c", F.col("i") + 1) == F.col("chain"))
+    ends = {"5p3p": F.struct(F.col("i").alias("i"), (F.col("i") + 1).alias("j")), "3p5p": F.struct((F.col("i") + 1).alias("i"), F.col("i").alias("j"))}
+    return follow.select("graph", F.explode(F.array(*[e for k, e in ends.items() if backbone in ("both", k)])).alias("e")).select("graph", "e.*")
+
+
+def collated(tensors: DataFrame, size: int, order: str = "graph") -> DataFrame:
+    """Rows of ``graph_tensors`` in batches of ``size`` graphs: (batch, graphs, x, edge_index, edge_attr, graph_of, starts), with
+    nodes numbered through each batch. Batches follow ``order``; none is larger than its graphs."""
+    numbered = ranked(tensors, [order], "_at").withColumn("batch", F.expr(f"_at div {int(size)}"))
+    fields = [F.col(c) for c in ("_at", "graph", "x")] + [F.coalesce("edge_index", F.array().cast("array<array<bigint>>")).alias("e"), F.coalesce("edge_attr", F.array().cast("array<int>")).alias("a")]
+    packed = numbered.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
+    counts = F.transform("s", lambda v: F.size(v["x"]).cast("long"))
+    # Where each graph's nodes begin: sums of the sizes before, folded once.
+    starts = F.aggregate(counts, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    at = packed.withColumn("starts", starts)
+    shifted = F.flatten(F.transform("s", lambda v, i: F.transform(v["e"], lambda e: F.transform(e, lambda k: k + F.get("starts", i)))))
+    return at.select(
+        "batch",
+        F.transform("s", lambda v: v["graph"]).alias("graphs"),
+        F.flatten(F.transform("s", lambda v: v["x"])).alias("x"),
+        shifted.alias("edge_index"),
+        F.flatten(F.transform("s", lambda v: v["a"])).alias("edge_attr"),
+        F.flatten(F.transform("s", lambda v, i: F.array_repeat(i.cast("long"), F.size(v["x"])))).alias("graph_of"),
+        F.slice("starts", 1, F.size("s")).alias("starts"),
+    )

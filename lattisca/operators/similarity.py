@@ -7,12 +7,12 @@ from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattisca.operators.partition import connected_components
+from lattisca.operators.partition import linked_components
+from lattisca.shared import durable, join_split
 
 
 def tanimoto(members: DataFrame) -> DataFrame:
@@ -41,6 +41,20 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
+def against(rows: DataFrame, asked: DataFrame, key: str, blocks: int | None = None) -> DataFrame:
+    """Every row with every one of ``asked``, a stated query set, in blocks: rows are dealt by the hash of ``key``, and the query
+    set is given to each block, so that no task holds more than a block's rows and the queries pass through."""
+    n = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)))
+    return dealt.join(asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))), "_block").drop("_block")
+
+
+def kernel_loss(pairs: DataFrame, found: str, wanted: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, loss): the mean of squared differences, weighted where asked for."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    return pairs.groupBy(*(keys or [])).agg((F.sum(w * F.pow(F.col(found) - F.col(wanted), 2)) / F.count(F.lit(1))).alias("loss"))
+
+
 def ring_jaccard(counts: DataFrame, pairs: DataFrame, decay: float, depth: int) -> DataFrame:
     """(pairs' a and b, similarity): per ring the multiset Jaccard of edge labels, weighted by decay^hop. ``counts`` is (id, hop,
     label, n); rings that are empty on both sides count as equal."""
@@ -56,39 +70,39 @@ def ring_jaccard(counts: DataFrame, pairs: DataFrame, decay: float, depth: int)
 
 def redundancy_removal(items: DataFrame, close: DataFrame) -> DataFrame:
     """One of each component of ``close`` (i, j) stays: the lowest resolution, then the first by id; others' ids go."""
-    edges = close.select(F.lit(0).alias("graph"), F.col("i").alias("src"), F.col("j").alias("dst"))
-    named = connected_components(edges).select(F.col("node").alias("id"), "component")
+    named = linked_components(close).select(F.col("node").alias("id"), "component")
     whole = items.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = whole.groupBy("component").agg(F.min_by("id", F.struct(F.col("resolution").isNull(), F.col("resolution"), F.col("id"))).alias("id"), F.count(F.lit(1)).alias("members"))
     return best.select("id", "component", "members")
 
 
 def greedy_clusters(items: DataFrame, close: DataFrame) -> DataFrame:
-    """(id, cluster): in order of length, then id, an item joins the first earlier head that it is close to, or heads a
-    cluster of its own. Only items of one component of ``close`` can meet, so components are taken one by one."""
-    edges = close.select(F.lit(0).alias("graph"), F.col("i").alias("src"), F.col("j").alias("dst"))
-    named = connected_components(edges).select(F.col("node").alias("id"), "component")
-    sized = named.join(items.select("id", "length"), "id")
-    ends = close.join(named.withColumnRenamed("id", "i"), "i").select(F.col("component").alias("of"), "i", "j")
-
-    def assign(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for i, j in zip(pairs["i"], pairs["j"], strict=True):
-            near.setdefault(i, set()).add(j)
-            near.setdefault(j, set()).add(i)
-        heads: dict[int, int] = {}
-        order: list[int] = []
-        for i in nodes.sort_values(["length", "id"], ascending=[False, True])["id"]:
-            head = next((h for h in order if h in near.get(i, ())), None)
-            if head is None:
-                order.append(i)
-                head = i
-            heads[i] = head
-        return pd.DataFrame({"id": list(heads), "cluster": list(heads.values())})
-
-    clustered = sized.groupBy("component").cogroup(ends.groupBy("of")).applyInPandas(assign, "id long, cluster long")
-    alone = items.join(named, "id", "left_anti").select("id", F.col("id").alias("cluster"))
-    return clustered.union(alone)
+    """(id, cluster): in order of falling length, then id, an item joins the first earlier head that it is close to, or heads a
+    cluster of its own.
+
+    Whether an item heads a cluster depends on the earlier ones close to it alone, so in each round all items are settled whose
+    earlier neighbours are: one with a head among them joins, one whose neighbours have all joined others is a head.
+    """
+    place = F.struct((-F.col("length")).alias("l"), F.col("id").alias("id"))
+    at = items.select("id", place.alias("at"))
+    ends = close.select("i", "j").distinct().join(at.select(F.col("id").alias("i"), F.col("at").alias("ai")), "i").join(at.select(F.col("id").alias("j"), F.col("at").alias("aj")), "j")
+    later = F.col("ai") > F.col("aj")
+    # (id, before): each item's earlier neighbours.
+    earlier = durable(ends.select(F.when(later, F.col("i")).otherwise(F.col("j")).alias("id"), F.when(later, F.col("aj")).otherwise(F.col("ai")).alias("before")))
+    bound = earlier.select("id").distinct()
+    free = items.select("id").join(bound, "id", "left_anti")
+    heads = durable(free)
+    open_ = durable(bound)
+    settled = heads.select("id", F.lit(True).alias("head"))
+    while not open_.isEmpty():
+        known = join_split(earlier.join(open_, "id", "left_semi").withColumn("other", F.col("before.id")), settled.select(F.col("id").alias("other"), "head"), ["other"], "left")
+        seen = known.groupBy("id").agg(F.bool_or(F.coalesce("head", F.lit(False))).alias("joins"), F.bool_and(F.col("head").isNotNull()).alias("all"))
+        done = durable(seen.where("joins or all").select("id", (~F.col("joins")).alias("head")))
+        settled = durable(settled.union(done))
+        open_ = durable(open_.join(done, "id", "left_anti"))
+    joined = earlier.join(settled.where("head").select(F.col("id").alias("_head")), F.col("before.id") == F.col("_head"))
+    own = joined.groupBy("id").agg(F.min("before").alias("best")).select("id", F.col("best.id").alias("cluster"))
+    return items.select("id").join(own, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def hungarian(cost: np.ndarray) -> tuple[np.ndarray, float]:

@@ -5,13 +5,10 @@ A graph is bounded, so hops are too; the number of roots is not, and no root is
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattisca.operators.edges import is_canonical
-from lattisca.shared import durable
 
 
 def ball(edges: DataFrame, roots: DataFrame, depth: int, directed: bool = True) -> DataFrame:
@@ -65,23 +62,30 @@ def rings(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return first.select("graph", "root", "hop", "label", F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-def dangle_trim(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Edges (graph, src, dst), undirected and once each, left when nodes of degree below two are removed until there are none;
-    an error if ``rounds`` are given and do not suffice."""
-    now = durable(edges.select("graph", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
-    count = now.count()
-    for _ in itertools.count() if rounds is None else range(rounds):
-        ends = now.select("graph", F.explode(F.array("src", "dst")).alias("node"))
-        kept = ends.groupBy("graph", "node").agg(F.count(F.lit(1)).alias("d")).where("d >= 2").select("graph", "node")
-        after = durable(
-            now.join(kept.withColumnRenamed("node", "src"), ["graph", "src"], "left_semi").join(kept.withColumnRenamed("node", "dst"), ["graph", "dst"], "left_semi").select("graph", "src", "dst")
-        )
-        left = after.count()
-        now = after
-        if left == count:
-            return now
-        count = left
-    raise RuntimeError(f"loose ends are left after {rounds} rounds")
+def ball_hashes(edges: DataFrame, roots: DataFrame, depth: int = 1, iterations: int = 2, symmetric: bool = False, width: int = 32, label: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(graph, root, hash): the refinement hash of each root's ball, cut to ``width`` hexadecimal digits. ``symmetric`` takes
+    both directions of a label for one; ``label`` names a column of ``nodes`` (graph, node) to begin with, else all are alike."""
+    from lattisca.operators.edges import symmetric_label
+
+    members = ball(edges, roots, depth, directed=False)
+    name = F.concat_ws("|", "graph", "root")
+    inside = ego_edges(edges.withColumn("label", symmetric_label(F.col("label"))) if symmetric else edges, members)
+    each = members.withColumn("_label", F.lit("")) if label is None else members.join(nodes.select("graph", "node", F.col(label).alias("_label")), ["graph", "node"])
+    found = wl_hash(inside.select(name.alias("graph"), "src", "dst", "label"), each.select(name.alias("graph"), "node", "_label"), "_label", iterations)
+    return roots.select("graph", "root", name.alias("_name")).join(found.withColumnRenamed("graph", "_name"), "_name").select("graph", "root", F.substring("hash", 1, width).alias("hash"))
+
+
+def hash_table(hashes: DataFrame, examples: int = 0) -> DataFrame:
+    """(hash, n, first): how many balls have each hash and the smallest of them as (graph, root); with ``examples`` also so
+    many of them."""
+    at = F.struct("graph", "root")
+    more = [F.slice(F.array_sort(F.collect_list(at)), 1, examples).alias("examples")] if examples else []
+    return hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), *more)
+
+
+def missing_hashes(hashes: DataFrame, table: DataFrame) -> DataFrame:
+    """The hashes that a table lacks; none if it is complete."""
+    return hashes.select("hash").distinct().join(table, "hash", "left_anti")
 
 
 def wl_labels(edges: DataFrame, nodes: DataFrame, label: str, iterations: int = 2) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -15,7 +17,7 @@ def shared_root(spark: SparkSession) -> str:
     if root is None and held.isDefined():
         root = held.get()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lattisca-shared-")
     if not held.isDefined():
@@ -32,3 +34,34 @@ def durable(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def join_split(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has a row for each of its ``keys``, when some keys may have very many ``rows``.
+
+    Spark deals a hot key's rows over several tasks only where both sides were shuffled for the join. An aggregate by the
+    same keys would pass on its own partitioning instead; another key beside them prevents it.
+    """
+    mark = F.xxhash64(*keys, F.lit(len(keys)))
+    return rows.withColumn("_split", mark).join(keyed.withColumn("_split", mark), ["_split", *keys], how).drop("_split")
+
+
+def _ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` dealt by ranges of ``order``, with the number of the range as ``_range``."""
+    return durable(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``, numbers from 0 without gaps in ``order`` over all rows, which no single task sees: ranges are counted, and
+    rows numbered inside of theirs."""
+    return running_sum(rows.withColumn("_one", F.lit(1).cast("long")), order, F.col("_one"), name).drop("_one")
+
+
+def running_sum(rows: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over all rows before in ``order``."""
+    dealt = _ranged(rows, order)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    firsts = dealt.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    here = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return dealt.withColumn("_here", here).join(F.broadcast(firsts), "_range").withColumn(name, F.col("_first") + F.col("_here")).drop("_range", "_here", "_first")

@@ -6,7 +6,7 @@ Checkers are functions from a column to a column; a plain Python function of a v
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from lattisca.constants import RIBOSOMAL
 from lattisca.model import GraphCollection
+from lattisca.operators import clean as D
 from lattisca.operators import edges as E
 from lattisca.operators import filters as L
 from lattisca.operators import partition as P
 from lattisca.operators import similarity as M
 from lattisca.operators import split as X
-from lattisca.operators import traverse as T
 
 Checker = Callable[[Column], Column]
 
@@ -213,20 +213,23 @@ class PartitionFromDict(Transform):
 
 @dataclass
 class Chop(Transform):
-    """Pieces of at most ``max_size`` residues by principal axes; then dangling ends are trimmed, and
-    parts below ``least`` residues or without a pair that isn't canonical left out."""
+    """Pieces of at most ``max_size`` residues by principal axes. Then gaps are filled, dangling ends trimmed and islands below
+    ``least`` residues dropped; pieces with fewer than ``filter_size`` residues or without a pair that isn't canonical go."""
 
     max_size: int = 50
     least: int = 8
+    filter_size: int = 10
 
     def __call__(self, c: GraphCollection) -> GraphCollection:
         cut = P.pca_chop(c.nodes.select("graph", "node", "x", "y", "z").where("x is not null"), self.max_size).select("graph", "node", "part")
-        pieces = c.partition(cut)
-        trimmed = T.dangle_trim(pieces.edges)
-        kept = E.both_ways(trimmed).select("graph", "node").distinct()
-        sized = L.by_size(kept, self.least - 1)
-        out = pieces.keep_nodes(kept.join(sized.select("graph"), "graph", "left_semi"))
-        return out.keep(out.edges.where(~E.is_canonical(F.col("label"))))
+        # A gap is filled from the whole graph, so a piece looks at all of its graph's edges.
+        name = F.concat_ws("|", F.col("graph").cast("string"), F.col("part").cast("string"))
+        members = cut.select(name.alias("graph"), "node")
+        edges = c.edges.join(cut.select("graph", "part").distinct(), "graph").select(name.alias("graph"), "src", "dst", "label")
+        kept = D.clean_parts(edges, members, self.least)
+        whole = F.substring_index("graph", "|", 1).cast(c.nodes.schema["graph"].dataType)
+        out = c.partition(kept.select(whole.alias("graph"), "node", F.substring_index("graph", "|", -1).alias("part")))
+        return out.keep(L.by_structure(out.nodes, out.edges, self.filter_size))
 
 
 # --- annotations and names
@@ -262,6 +265,21 @@ class BindingSiteAnnotator(Transform):
         return GraphCollection(c.graphs, c.nodes.withColumn("binding_site", binding_flag([F.col(x) for x in columns])), c.edges, c.distances)
 
 
+class PDBIDNameTransform(Transform):
+    """``name``: the structure's id in lower case."""
+
+    def __call__(self, c: GraphCollection) -> GraphCollection:
+        column = "pdbid" if "pdbid" in c.graphs.columns else "graph"
+        return replace(c, graphs=c.graphs.withColumn("name", F.lower(F.col(column).cast("string"))))
+
+
+class DummyAnnotator(Transform):
+    """``dummy``: 1 on every residue."""
+
+    def __call__(self, c: GraphCollection) -> GraphCollection:
+        return replace(c, nodes=c.nodes.withColumn("dummy", F.lit(1)))
+
+
 class ChainNameTransform(Transform):
     """``name``: graph and the chain of its first node."""
 
@@ -330,7 +348,7 @@ class ClusterSplitter:
 
     def clusters(self, c: GraphCollection) -> DataFrame:
         close = c.distances.where((F.col("metric") == self.distance_name) & (F.col("distance") <= 1 - self.similarity_threshold + 1e-12))
-        named = P.connected_components(close.select(F.lit(0).alias("graph"), F.col("i").alias("src"), F.col("j").alias("dst")))
+        named = P.linked_components(close)
         of = named.select(F.col("node").alias("graph"), F.col("component").alias("cluster"))
         return c.graphs.select("graph").join(of, "graph", "left").withColumn("cluster", F.coalesce("cluster", "graph"))
 
