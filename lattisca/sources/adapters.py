@@ -104,3 +104,36 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as points in their first three dimensions, in molecules of ``MOLECULE`` that follow each other."""
     at = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")]
     return table(spark, sf_dir, "embeddings").select(F.expr(f"vec_id div {MOLECULE}").alias("graph"), F.col("vec_id").alias("node"), F.col("label").alias("kind"), *at)
+
+
+HAIRPIN_NODES = """SELECT user_id AS graph, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos,
+  count(*) OVER (PARTITION BY user_id) AS n, event_type AS chain, value FROM events"""
+#: Whether the residue ``pos`` of a hairpin of ``n`` has a canonical partner, and whether it has any.
+WATSON = "((pos + graph) % 4 <> 0 AND n + 1 - 2 * pos > 2)"
+PAIRED = "(((pos + graph) % 4 <> 0 OR graph % 3 = 0) AND n + 1 - 2 * pos > 2)"
+HAIRPIN_EDGES = f"""SELECT graph, pos AS src, pos - 1 AS dst, 'B53' AS label FROM ({HAIRPIN_NODES}) WHERE pos > 1
+UNION ALL SELECT graph, pos - 1, pos, 'B35' FROM ({HAIRPIN_NODES}) WHERE pos > 1
+UNION ALL SELECT graph, pos, n + 1 - pos, CASE WHEN {WATSON} THEN 'cWW' ELSE 'tHS' END FROM ({HAIRPIN_NODES}) WHERE {PAIRED}
+UNION ALL SELECT graph, n + 1 - pos, pos, CASE WHEN {WATSON} THEN 'cWW' ELSE 'tSH' END FROM ({HAIRPIN_NODES}) WHERE {PAIRED}"""
+
+
+def hairpin_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events folded into a hairpin: the first lies across the last, the second across the last but one. A residue is
+    named by its place."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("graph"))
+    nodes = event_nodes(spark, sf_dir).withColumn("n", n)
+    return nodes.select("graph", F.col("pos").alias("node"), "pos", "n", "chain", "value")
+
+
+def hairpin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backbone between neighbours; of four pairs across three are canonical, and the fourth, in every third graph, is not."""
+    nodes = hairpin_nodes(spark, sf_dir)
+    across = F.col("n") + 1 - F.col("pos")
+    canonical = (F.col("pos") + F.col("graph")) % 4 != 0
+    pair = (across - F.col("pos") > 2) & (canonical | (F.col("graph") % 3 == 0))
+    end = lambda s, d, label: F.struct(s.alias("src"), d.alias("dst"), label.alias("label"))
+    before, at = F.col("pos") - 1, F.col("pos")
+    follow = F.when(at > 1, F.array(end(at, before, F.lit("B53")), end(before, at, F.lit("B35"))))
+    pairs = F.when(pair, F.array(end(at, across, F.when(canonical, "cWW").otherwise("tHS")), end(across, at, F.when(canonical, "cWW").otherwise("tSH"))))
+    none = F.array().cast("array<struct<src:bigint,dst:bigint,label:string>>")
+    return nodes.select("graph", F.explode(F.concat(F.coalesce(follow, none), F.coalesce(pairs, none))).alias("e")).select("graph", "e.*")

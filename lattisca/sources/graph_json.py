@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from lattisca.model import GraphCollection
+from lattisca.shared import ranked
 
 #: The links' key has two names, by the age of the file.
 LINK_KEYS = ("links", "edges")
@@ -47,3 +48,17 @@ def to_json(collection: GraphCollection) -> DataFrame:
 
 def write_graphs(collection: GraphCollection, path: str, mode: str = "errorifexists") -> None:
     to_json(collection).select("value").write.mode(mode).text(path)
+
+
+#: Files of a folder of graphs that are none.
+SPECIAL = ("distances", "metadata", "index")
+
+
+def list_graphs(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """(idx, graph) of the graph files of a folder: all in order, or those of ``names`` that are there, in the order asked for."""
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(stem.alias("graph")).where(~F.col("graph").isin(*SPECIAL)).distinct()
+    if names is None:
+        return ranked(found, ["graph"], "idx").select("idx", "graph")
+    wanted = spark.createDataFrame([(i, n) for i, n in enumerate(dict.fromkeys(names))], "wish long, graph string")
+    return ranked(found.join(F.broadcast(wanted), "graph"), ["wish"], "idx").select("idx", "graph")  # as many as were asked for
