@@ -7,10 +7,10 @@ fingerprint of names, nodes and splits.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lattisca.functions.encoders import BoolEncoder, FeaturesComputer, MultiHotEncoder, OneHotEncoder
@@ -23,6 +23,10 @@ from lattisca.operators import similarity as M
 from lattisca.operators import split as X
 
 
+#: Kinds of targets, or terms, that a description or an encoder takes.
+MOST_CLASSES = 10_000
+
+
 def by_components(c: GraphCollection) -> GraphCollection:
     """Each connected part becomes a graph; residues without an edge are parts of their own."""
     named = P.connected_components(c.edges)
@@ -83,11 +87,46 @@ class Task:
         split = X.cluster_split(c.graphs, self.cluster, "graph", self.ratios, self.seed).select("graph", "split")
         return self.features.compute(c.nodes if self.level == "nodes" else c.graphs).join(split, "graph")
 
+    def class_counts(self, rows: DataFrame) -> DataFrame:
+        """(slot, value, n): how often each place of the target has each value; a single place is the class itself."""
+        return rows.select(F.posexplode("targets").alias("slot", "value")).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+
     def describe(self, rows: DataFrame) -> dict:
-        """Dimensions, size, and how often each target comes."""
-        classes = {str(r.targets): r.n for r in rows.groupBy("targets").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc()).limit(100).collect()} if self.features.targets else {}
+        """Dimensions, size, and how often each target comes; an error if there are over MOST_CLASSES kinds of targets."""
+        classes = {}
+        if self.features.targets:
+            counts = rows.groupBy("targets").agg(F.count(F.lit(1)).alias("n")).limit(MOST_CLASSES + 1).collect()
+            if len(counts) > MOST_CLASSES:
+                raise ValueError(f"more than {MOST_CLASSES} kinds of targets; see class_counts")
+            classes = {str(r.targets): r.n for r in sorted(counts, key=lambda r: (-r.n, str(r.targets)))}
         return {"name": self.name, "level": self.level, "num_node_features": self.features.input_dim, "num_classes": max(2, self.features.output_dim) if self.features.targets else 0, "dataset_size": rows.select("graph").distinct().count(), "class_distribution": classes}
 
+    def part(self, split: str, rows: DataFrame | None = None) -> DataFrame:
+        """The rows of train, val or test; the filter reaches a written task's folders."""
+        return (self.rows() if rows is None else rows).where(F.col("split") == split)
+
+    def loader(self, split: str, size: int, rows: DataFrame | None = None) -> Iterator[list[Row]]:
+        """A part's graphs in batches of ``size``, each a list of (graph, rows in order), a partition at a time."""
+        some = self.part(split, rows)
+        columns = [c for c in some.columns if c not in ("graph", "split")]
+        packed = some.groupBy("graph").agg(F.array_sort(F.collect_list(F.struct(*[c for c in ("node", "features", "targets") if c in columns]))).alias("rows"))
+        kept: list[Row] = []
+        for row in packed.orderBy("graph").toLocalIterator():
+            kept.append(row)
+            if len(kept) == size:
+                yield kept
+                kept = []
+        if kept:
+            yield kept
+
+    def dummy(self, rows: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+        """The metrics, pooled and by graph, of predictions that know nothing: a target of one place is 0 or 1, of more the place."""
+        width = self.features.output_dim
+        key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("graph", "node") if c in rows.columns])
+        label = F.col("targets")[0].cast("int") if width == 1 else (F.array_position("targets", F.array_max("targets")) - 1).cast("int")
+        guessed = K.dummy_predictions(rows.withColumn("label", label), key, width, seed)
+        return evaluate(guessed)
+
     def fingerprint(self, rows: DataFrame) -> str:
         """Equal for tasks with the same graphs, residues and splits: rows' hashes are summed, so order doesn't matter."""
         columns = [c for c in ("graph", "node", "split") if c in rows.columns]
@@ -109,10 +148,13 @@ class Task:
     def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
         return spark.read.parquet(f"{path}/rows"), json.loads(spark.read.text(f"{path}/metadata").first()[0])
 
-    def to_csv(self, path: str) -> None:
+    def table(self) -> DataFrame:
         """(residue or graph, split, target)."""
         key = "node" if self.level == "nodes" else "graph"
-        self.rows().select(key, "split", F.array_join(F.col("targets").cast("array<string>"), " ").alias("target")).write.option("header", True).csv(path)
+        return self.rows().select(key, "split", F.array_join(F.col("targets").cast("array<string>"), " ").alias("target"))
+
+    def to_csv(self, path: str) -> None:
+        self.table().write.option("header", True).csv(path)
 
 
 def evaluate(predictions: DataFrame, label: str = "label", pred: str = "pred", graph: str = "graph") -> tuple[DataFrame, DataFrame]:
@@ -161,6 +203,32 @@ def fixed_split(task: Task, train: list[str], val: list[str], test: list[str]) -
     return task.features.compute(c.nodes if task.level == "nodes" else c.graphs).join(lists, "graph")
 
 
+def benchmark_folding(collection: GraphCollection, groups: DataFrame, limits: tuple[int, int] = (15, 300)) -> tuple[Task, DataFrame]:
+    """Inverse folding on published chain groups: ``groups`` is (graph, chains, split), chains like ``A-B``. Each group is a
+    graph of its own; gives the task and its rows with the published split."""
+    parts = P.by_groups(collection.nodes, groups)
+    c = sized(*limits)(collection.partition(parts))
+    task = Task("rna_if_bench", c, features=FeaturesComputer(targets=["nt_code"]))
+    name = F.concat_ws("_", F.col("graph").cast("string"), "chains")
+    return task, task.features.compute(c.nodes).join(groups.select(name.alias("graph"), "split").distinct(), "graph")
+
+
+def benchmark_binding(collection: GraphCollection, chains: DataFrame, cutoff: float = 6.0) -> tuple[Task, DataFrame]:
+    """Binding sites on published chains: ``chains`` is (graph, chain, split). Residues of other chains go, a residue with a
+    ligand or ion within the cutoff is a site; gives the task and its rows with the published split."""
+    from lattisca.transforms import BindingSiteAnnotator
+
+    c = collection.keep_nodes(L.by_chains(collection.nodes, chains.select("graph", "chain")))
+    c = BindingSiteAnnotator(include_ions=True, cutoff=cutoff)(c)
+    task = Task("rna_site_bench", c, features=FeaturesComputer(features=["nt_code"], targets=["binding_site"], custom={"binding_site": BoolEncoder()}))
+    return task, task.features.compute(c.nodes).join(chains.select("graph", "split").distinct(), "graph")
+
+
+def screening_split(groups: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Pocket groups for training and, a tenth, validation."""
+    return X.hash_split(groups, key, (0.9, 0.1, 0.0), seed)
+
+
 def family_terms(collection: GraphCollection, slices: DataFrame, terms: DataFrame, more_than: int = 50, less_than: int = 1000) -> Task:
     """Slices of chains (graph, chain, first, last, family) with the terms of their family (family, term) that are neither
     rare, frequent nor correlated, as labels of whole graphs."""
@@ -169,7 +237,9 @@ def family_terms(collection: GraphCollection, slices: DataFrame, terms: DataFram
     c = c.keep(L.by_size(c.nodes, 4)).keep(c.edges.groupBy("graph").agg(F.count(F.lit(1)).alias("n")).where("n >= 5"))
     members = slices.join(terms, "family").select(F.col("graph").alias("id"), "term").distinct()
     kept = B.uncorrelated(members.join(B.frequent(members, more_than, less_than).select("term"), "term", "left_semi"))
-    names = [r.term for r in kept.select("term").distinct().orderBy("term").limit(10_000).collect()]  # cut by count before
+    names = [r.term for r in kept.select("term").distinct().orderBy("term").limit(MOST_CLASSES + 1).collect()]
+    if len(names) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} terms; raise more_than or lower less_than")
     labels = kept.groupBy(F.col("id").alias("graph")).agg(F.array_sort(F.collect_set("term")).alias("go_terms"))
     f = FeaturesComputer(targets=["go_terms"], custom={"go_terms": MultiHotEncoder({t: i for i, t in enumerate(names)})})
     return Task("rna_go", GraphCollection(c.graphs.join(labels, "graph"), c.nodes, c.edges), [], f, level="graphs")
