@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from lattisca.plans import analysis_queries, feature_queries, graph_queries, label_queries, source_queries  # noqa: F401
+    from lattisca.plans import analysis_queries, feature_queries, graph_queries, label_queries, representation_queries, source_queries, structure_queries  # noqa: F401

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lattisca.catalog import query
+from lattisca.operators import aggregate as G
+from lattisca.operators import clean as D
 from lattisca.operators import edges as E
 from lattisca.operators import filters as L
+from lattisca.operators import labels as B
+from lattisca.operators import pockets as O
 from lattisca.operators import sequence as Q
 from lattisca.operators import similarity as M
 from lattisca.operators import split as X
@@ -26,70 +29,80 @@ BB = "('B53', 'B35')"
 UNION ALL SELECT 'k', json_extract_string(props, '$.k'), count(*) FROM events GROUP BY 2""")
 def value_counts(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("event_type").alias("type"), F.get_json_object("props", "$.k").alias("k"))
-    return e.unpivot([], ["type", "k"], "field", "value").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    return G.value_counts(e, ["type", "k"])
 
 
 @query("SELECT user_id AS graph, event_type AS value, count(*) AS n FROM events GROUP BY user_id, event_type")
 def graph_index(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("graph"), F.col("event_type").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("graph"), "event_type")
+    return G.graph_index(e, ["event_type"]).select("graph", "value", "n")
 
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY ROLLUP (source, lang)")
 def label_counter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return G.label_counts(table(spark, d, "documents"), "source", "lang")
 
 
 @query("""SELECT 'quality' AS label, CAST(quality AS BIGINT) AS class, count(*) AS n FROM labels GROUP BY quality UNION ALL SELECT 'toxic', CAST(toxic AS BIGINT), count(*) FROM labels GROUP BY toxic""")
 def describe(spark: SparkSession, d: str) -> DataFrame:
-    labels = table(spark, d, "labels").select("quality", "toxic")
-    return labels.unpivot([], ["quality", "toxic"], "label", "class").groupBy("label", F.col("class").cast("long").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    labels = table(spark, d, "labels").select(F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
+    return G.value_counts(labels, ["quality", "toxic"], field="label", value="class")
 
 
 @query("""WITH s AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, CAST(median(n) AS DOUBLE) AS median FROM s""")
 def length_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return s.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"))
+    s = G.length_stats(table(spark, d, "events").select(F.col("user_id").alias("graph")))
+    return s.select("least", "most", F.round("mean", 6).alias("mean"), "median")
 
 
 @query("""WITH n AS (SELECT count(DISTINCT user_id) AS total FROM events) SELECT event_type AS label, round(ln(max(total) / count(DISTINCT user_id) + 1), 6) AS idf FROM events JOIN n ON true GROUP BY event_type""")
 def edge_idf(spark: SparkSession, d: str) -> DataFrame:
-    each = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.lit(1).alias("_"))
-    total = each.select("user_id").distinct().agg(F.count(F.lit(1)).alias("total"))
-    df = each.groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(total)).select("label", F.round(F.log(F.col("total") / F.col("df") + 1), 6).alias("idf"))  # one row
+    e = table(spark, d, "events").select(F.col("user_id").alias("graph"), F.col("event_type").alias("label"))
+    return G.label_idf(e).select("label", F.round("idf", 6).alias("idf"))
 
 
 @query("SELECT p_type AS term, count(*) AS n FROM part GROUP BY p_type HAVING count(*) > 5 AND count(*) < 100000")
 def freq_cut(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(F.col("p_type").alias("term")).agg(F.count(F.lit(1)).alias("n")).where("n > 5 AND n < 100000")
+    return B.frequent(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("term")), 5, 100_000)
 
 
 @query("SELECT round(corr(CAST(quality AS DOUBLE), CAST(toxic AS DOUBLE)), 6) AS quality_toxic FROM labels")
 def label_corr(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "labels").agg(F.round(F.corr(F.col("quality").cast("double"), F.col("toxic").cast("double")), 6).alias("quality_toxic"))
+    labels = table(spark, d, "labels")
+    return labels.agg(F.round(G.correlation(labels, "quality", "toxic"), 6).alias("quality_toxic"))
 
 
 @query("SELECT md5(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY md5(text)")
 def hash_table(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.md5("text").alias("hash"), "doc_id")
-    return docs.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    docs = table(spark, d, "documents").select(F.md5("text").alias("hash"), F.lit(0).alias("graph"), F.col("doc_id").alias("root"))
+    return T.hash_table(docs).select("hash", "n", F.col("first.root").alias("first"))
 
 
 @query("SELECT round(sqrt(count(*) FILTER (toxic = 0) / count(*) FILTER (toxic = 1)), 6) AS weight FROM labels")
 def pos_weight(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "labels").agg(F.round(F.sqrt(F.count_if(F.col("toxic") == 0) / F.count_if(F.col("toxic") == 1)), 6).alias("weight"))
+    return table(spark, d, "labels").agg(F.round(G.positive_weight(F.col("toxic")), 6).alias("weight"))
 
 
 @query("SELECT quality, count(*) AS n, round(1.0 / count(*), 9) AS weight FROM labels GROUP BY quality")
 def class_weights(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "labels").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.lit(1.0) / F.count(F.lit(1)), 9).alias("weight"))
+    labels = table(spark, d, "labels")
+    counts = labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+    return B.class_weights(labels, "quality").join(counts, "quality").select("quality", "n", F.round("weight", 9).alias("weight"))
 
 
 @query(f"""WITH e AS ({A.CONV_EDGES}), p AS (SELECT graph % 2 = 0 AS pocket, label, count(*) AS n FROM e WHERE label NOT IN {BB} GROUP BY 1, 2)
 SELECT pocket, label, n, round(n / sum(n) OVER (PARTITION BY pocket), 6) AS share FROM p""")
 def enrichment(spark: SparkSession, d: str) -> DataFrame:
-    e = A.conv_edges(spark, d).where(~F.col("label").isin(*E.BACKBONE)).groupBy((F.col("graph") % 2 == 0).alias("pocket"), "label").agg(F.count(F.lit(1)).alias("n"))
-    return e.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("pocket")), 6))
+    e = O.base_pairs(A.conv_edges(spark, d)).select((F.col("graph") % 2 == 0).alias("pocket"), "label")
+    return G.shares(e, "pocket", "label").withColumn("share", F.round("share", 6))
+
+
+@query(f"""WITH n AS ({A.CONV_NODES}), s AS (SELECT graph, count(*) AS n FROM n GROUP BY graph) SELECT (SELECT round(avg(CASE WHEN code = 'user' THEN 1.0 ELSE 0.0 END), 6) FROM n) AS fraction,
+(SELECT count(DISTINCT label) FROM ({A.CONV_EDGES})) AS edge_labels, max(n) AS most, round(avg(n), 6) AS mean FROM s""")
+def label_summary(spark: SparkSession, d: str) -> DataFrame:
+    nodes = A.conv_nodes(spark, d).withColumn("bound", (F.col("code") == "user").cast("int"))
+    s = G.label_summary(nodes, A.conv_edges(spark, d), "bound")
+    return s.select(F.round("fraction", 6).alias("fraction"), "edge_labels", "most", F.round("mean", 6).alias("mean"))
 
 
 @query(f"""WITH n AS ({A.CONV_NODES}), e AS ({A.CONV_EDGES}), s0 AS (SELECT graph, src AS node, CAST(count(*) AS DOUBLE) AS w FROM e WHERE NOT (upper(label) IN ('B53','B35','CWW')) GROUP BY graph, src),
@@ -154,7 +167,7 @@ def floaters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dangle_trim(spark: SparkSession, d: str) -> DataFrame:
-    return T.dangle_trim(A.conv_edges(spark, d))
+    return D.dangle_trim(A.conv_edges(spark, d))
 
 
 def _wl(step: str) -> str:
@@ -216,30 +229,32 @@ def tanimoto(spark: SparkSession, d: str) -> DataFrame:
     return M.tanimoto(m).withColumn("similarity", F.round("similarity", 6))
 
 
-VEC = "(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+VEC = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 
 
 def _query_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector of an id that 100 divides, against the vectors of its label: a stated query set, not all pairs."""
-    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "label", F.col("embedding").alias("qe"))
-    return v.join(asked, "label").where("vec_id <> q")
+    """Every vector of an id that 100 divides against all others, in blocks: a stated query set, not all pairs."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
+    return M.against(v, asked, "vec_id").where("vec_id <> q")
 
 
 @query(f"""SELECT q.vec_id AS q, v.vec_id, round(list_dot_product(q.e, v.e) / (greatest(sqrt(list_dot_product(q.e, q.e)), 1e-8) * greatest(sqrt(list_dot_product(v.e, v.e)), 1e-8)), 5) AS cosine
-FROM {VEC} q JOIN {VEC} v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0""")
+FROM {VEC} q JOIN {VEC} v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0""")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _query_pairs(spark, d).select("q", "vec_id", F.round(M.cosine(F.col("qe"), F.col("embedding")), 5).alias("cosine"))
 
 
-@query(f"SELECT q.vec_id AS q, v.vec_id, round(list_distance(q.e, v.e), 5) AS l2 FROM {VEC} q JOIN {VEC} v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0")
+@query(f"SELECT q.vec_id AS q, v.vec_id, round(list_distance(q.e, v.e), 5) AS l2 FROM {VEC} q JOIN {VEC} v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0")
 def l2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _query_pairs(spark, d).select("q", "vec_id", F.round(M.l2(F.col("qe"), F.col("embedding")), 5).alias("l2"))
 
 
-@query(f"SELECT q.vec_id AS q, round(avg(power(list_dot_product(q.e, v.e) - 1.0, 2)), 5) AS loss FROM {VEC} q JOIN {VEC} v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id")
+@query(f"SELECT q.vec_id AS q, round(avg(power(list_dot_product(q.e, v.e) - 1.0, 2)), 5) AS loss FROM {VEC} q JOIN {VEC} v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id")
 def kernel_loss(spark: SparkSession, d: str) -> DataFrame:
-    return _query_pairs(spark, d).groupBy("q").agg(F.round(F.avg(F.pow(M.dot(F.col("qe"), F.col("embedding")) - 1.0, 2)), 5).alias("loss"))
+    """The products with all others against ones, as the mean of squares."""
+    pairs = _query_pairs(spark, d).select("q", M.dot(F.col("qe"), F.col("embedding")).alias("product"), F.lit(1.0).alias("wanted"))
+    return M.kernel_loss(pairs, "product", "wanted", ["q"]).withColumn("loss", F.round("loss", 5))
 
 
 @query(f"""{BALL}, u AS ({UNDIRECTED}), h AS (SELECT a.graph, a.root, min(a.hop) + 1 AS hop, u.label, u.src, u.dst FROM u JOIN ball a ON a.graph = u.graph AND (a.node = u.src OR a.node = u.dst)
@@ -347,13 +362,19 @@ def batch_assign(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CASE WHEN {U} < 0.7 THEN 'train' WHEN {U} < 0.85 THEN 'val' ELSE 'test' END AS split, quality AS target FROM documents JOIN labels USING (doc_id)")
 def task_csv(spark: SparkSession, d: str) -> DataFrame:
-    docs = X.hash_split(table(spark, d, "documents").select("doc_id"), "doc_id", (0.7, 0.15, 0.15), 7)
-    return docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("target")), "doc_id")
+    """Rows of a task as they are written: item, split, target."""
+    from lattisca.functions.encoders import FeaturesComputer, IntEncoder
+    from lattisca.model import GraphCollection
+    from lattisca.tasks import Task
+
+    graphs = table(spark, d, "documents").select(F.col("doc_id").alias("graph")).join(table(spark, d, "labels").select(F.col("doc_id").alias("graph"), "quality"), "graph")
+    none = spark.createDataFrame([], "graph long, node long, src long, dst long, label string")
+    c = GraphCollection(graphs, none.select("graph", "node"), none.select("graph", "src", "dst", "label"))
+    t = Task("quality", c, features=FeaturesComputer(targets=["quality"], custom={"quality": IntEncoder()}), level="graphs", seed=7)
+    return t.table().select(F.col("graph").alias("doc_id"), "split", F.col("target").cast("double").cast("int").alias("target"))
 
 
 @query("""WITH g AS (SELECT conv_id, sha256(string_agg(turn || ':' || role, ',' ORDER BY turn)) AS h FROM conversations GROUP BY conv_id), b AS (SELECT conv_id // 64 AS shelf, sha256(string_agg(h, '' ORDER BY conv_id)) AS hash FROM g GROUP BY 1) SELECT shelf, hash FROM b""")
 def task_hash(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.concat_ws(":", "turn", "role").alias("s")).alias("x"))
-    one = c.groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), ","), 256).alias("h"))
-    shelf = one.groupBy(F.expr("conv_id div 64").alias("shelf")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "h"))), lambda x: x["h"]), "").alias("all"))
-    return shelf.select("shelf", F.sha2("all", 256).alias("hash"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    return G.ordered_digest(c, F.expr("conv_id div 64"), "conv_id", [("turn", F.concat_ws(":", "turn", "role"))], "shelf")

@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattisca.catalog import query
+from lattisca.model import GraphCollection
+from lattisca.operators import aggregate as G
+from lattisca.operators import annotate as U
 from lattisca.operators import edges as E
 from lattisca.operators import filters as L
+from lattisca.operators import kernels as N
+from lattisca.operators import labels as B
 from lattisca.operators import partition as P
+from lattisca.operators import pockets as O
 from lattisca.operators import spatial as S
 from lattisca.sources import adapters as A
+from lattisca.sources.structures import residue_name_of
 
 BB = "('B53', 'B35')"
 CANON = "upper(label) IN ('B53', 'B35', 'CWW')"
@@ -37,7 +44,7 @@ def symmetric_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH e AS ({A.CONV_EDGES}) SELECT graph, src, dst, label FROM e WHERE label NOT IN {BB}""")
 def base_pair_edges(spark: SparkSession, d: str) -> DataFrame:
-    return A.conv_edges(spark, d).where(~F.col("label").isin(*E.BACKBONE))
+    return O.base_pairs(A.conv_edges(spark, d))
 
 
 @query("""WITH l AS (SELECT DISTINCT l_returnflag || l_linestatus AS state, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'cWW' WHEN 'NO' THEN 'B53' WHEN 'RF' THEN 'tHS' WHEN 'NF' THEN 'B35' ELSE 'cSW' END AS label FROM lineitem)
@@ -49,10 +56,25 @@ def iso_lookup(spark: SparkSession, d: str) -> DataFrame:
     return both.select("one", "two", F.round(E.isostericity(F.col("one"), F.col("two"), F.lit(4.0)), 6).alias("iso"))
 
 
+PUBLISHED = ", ".join(f"('{a}', '{b}', {N.distance(a, b)})" for a in ("cWW", "tHS", "cSW") for b in ("cWW", "tHS", "cSW"))
+
+
+@query(f"""WITH l AS (SELECT DISTINCT CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'cWW' WHEN 'NO' THEN 'B53' WHEN 'RF' THEN 'tHS' WHEN 'NF' THEN 'B35' ELSE 'cSW' END AS label FROM lineitem),
+t AS (SELECT * FROM (VALUES {PUBLISHED}) AS v(one, two, d)) SELECT a.label AS one, b.label AS two, round(CASE WHEN a.label = b.label THEN 1.0 WHEN a.label IN {BB} AND b.label IN {BB} THEN 0.2
+WHEN a.label IN {BB} OR b.label IN {BB} THEN 0.0 ELSE exp(-t.d / 8) END, 6) AS iso FROM l a JOIN l b ON true LEFT JOIN t ON t.one = a.label AND t.two = b.label""")
+def iso_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """How alike labels are by the published distances, as a table of all labels that there are."""
+    found = A.order_edges(spark, d).select("label").distinct()
+    table_ = spark.createDataFrame(N.label_table(list(E.LABELS)), "one string, two string, iso double")
+    held = table_.join(F.broadcast(found.withColumnRenamed("label", "one")), "one", "left_semi").join(F.broadcast(found.withColumnRenamed("label", "two")), "two", "left_semi")
+    return held.withColumn("iso", F.round("iso", 6)).select("one", "two", "iso")
+
+
 @query("SELECT p_partkey, lower(split_part(p_brand, '#', 1)) || '.' || split_part(p_type, ' ', 1) || '.' || CAST(p_size AS VARCHAR) AS node FROM part")
 def id_rewrite(spark: SparkSession, d: str) -> DataFrame:
     p = A.table(spark, d, "part")
-    return p.select("p_partkey", F.concat_ws(".", F.lower(F.split_part("p_brand", F.lit("#"), F.lit(1))), F.split_part("p_type", F.lit(" "), F.lit(1)), F.col("p_size").cast("string")).alias("node"))
+    raw = F.concat_ws("|", F.split_part("p_brand", F.lit("#"), F.lit(1)), F.lit("1"), F.split_part("p_type", F.lit(" "), F.lit(1)), F.lit("A"), F.col("p_size").cast("string"))
+    return p.select("p_partkey", residue_name_of(raw).alias("node"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -88,10 +110,10 @@ def residue_attr_min(spark: SparkSession, d: str) -> DataFrame:
     return L.by_residues(nodes, (F.col("event_type") == "error") & (F.col("value") > 1), 1)
 
 
-@query("SELECT user_id AS graph, round(avg(value), 6) AS agg FROM events GROUP BY user_id HAVING avg(value) < 10")
+@query("SELECT user_id AS graph, round(avg(value), 6) AS agg FROM events GROUP BY user_id HAVING avg(value) < 45")
 def residue_attr_agg(spark: SparkSession, d: str) -> DataFrame:
     nodes = A.table(spark, d, "events").select(F.col("user_id").alias("graph"), "value")
-    return L.by_aggregate(nodes, F.avg("value"), F.col("agg") < 10).select("graph", F.round("agg", 6).alias("agg"))
+    return L.by_aggregate(nodes, F.avg("value"), F.col("agg") < 45).select("graph", F.round("agg", 6).alias("agg"))
 
 
 @query("SELECT o_orderkey AS graph FROM orders WHERE o_totalprice < 50000")
@@ -125,7 +147,7 @@ def ligand_class(spark: SparkSession, d: str) -> DataFrame:
 def binding_flag(spark: SparkSession, d: str) -> DataFrame:
     e = A.table(spark, d, "events")
     sites = [F.when(F.col("event_type") == kind, F.col("value")) for kind in ("purchase", "error")]
-    return e.select("event_id", F.coalesce(*sites).isNotNull().alias("bound"))
+    return e.select("event_id", U.binding_flag(sites).alias("bound"))
 
 
 @query(f"""WITH n AS ({A.EVENT_NODES}), e AS (SELECT a.graph, a.node AS src, b.node AS dst, a.chain AS ca, b.chain AS cb FROM n a JOIN n b ON a.graph = b.graph AND b.pos = a.pos + 1)
@@ -178,7 +200,7 @@ SELECT n.graph, n.node, f.size AS first_size FROM n JOIN f ON n.graph = f.graph
 def annotate_from_dict(spark: SparkSession, d: str) -> DataFrame:
     nodes = A.conv_nodes(spark, d)
     first = nodes.groupBy("graph").agg(F.min_by("size", "node").alias("first_size"))
-    return nodes.select("graph", "node").join(first, "graph")
+    return U.lookup(nodes.select("graph", "node"), first, "graph", "first_size")
 
 
 @query(f"""WITH n AS ({A.EVENT_NODES}), c AS (SELECT graph, chain, pos, lag(pos) OVER (PARTITION BY graph, chain ORDER BY pos) AS before FROM n), p AS (SELECT * FROM c WHERE pos - before = 1)
@@ -216,14 +238,38 @@ def knn_graph(spark: SparkSession, d: str) -> DataFrame:
     return S.undirected_knn(A.points(spark, d), 4)
 
 
-@query("""WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id), k AS (SELECT conv_id, last FROM l WHERE last >= 3)
-SELECT conv_id, last, conv_id // 16 AS shelf, CAST(row_number() OVER (PARTITION BY conv_id // 16 ORDER BY last DESC, conv_id) - 1 AS BIGINT) AS idx FROM k""")
+@query("""WITH w AS (SELECT * FROM (VALUES (0, 7), (1, 3), (2, 12), (3, -1), (4, 5)) AS v(wish, conv_id)), k AS (SELECT w.wish, w.conv_id FROM w WHERE conv_id IN (SELECT conv_id FROM conversations))
+SELECT k.conv_id AS graph, CAST(row_number() OVER (ORDER BY wish) - 1 AS BIGINT) AS idx, (SELECT count(*) FROM conversations c WHERE c.conv_id = k.conv_id) AS nodes FROM k""")
 def subset(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
+    """Named graphs in the order that they were asked for; names that don't exist are left out."""
+    c = GraphCollection.of(A.conv_nodes(spark, d), A.conv_edges(spark, d)).subset(["7", "3", "12", "-1", "5"])
+    return c.graphs.join(c.nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("nodes")), "graph").select("graph", "idx", "nodes")
+
+
+@query("""SELECT conv_id AS graph, CAST(row_number() OVER (ORDER BY conv_id) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def collection_index(spark: SparkSession, d: str) -> DataFrame:
+    return GraphCollection.of(A.conv_nodes(spark, d), A.conv_edges(spark, d)).indexed().graphs.select("graph", "idx")
+
+
+@query("""SELECT conv_id AS graph, count(*) AS nodes FROM conversations WHERE conv_id IN (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id LIMIT 50) GROUP BY conv_id""")
+def collection_head(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty graphs by name."""
+    c = GraphCollection.of(A.conv_nodes(spark, d), A.conv_edges(spark, d)).head(50)
+    return c.nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"SELECT graph, node, pos, size FROM ({A.CONV_NODES}) WHERE graph = 7")
+def collection_item(spark: SparkSession, d: str) -> DataFrame:
+    return GraphCollection.of(A.conv_nodes(spark, d), A.conv_edges(spark, d)).item(7).nodes.select("graph", "node", "pos", "size")
 
-    last = A.table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last")).where("last >= 3").withColumn("shelf", F.expr("conv_id div 16"))
-    order = Window.partitionBy("shelf").orderBy(F.col("last").desc(), "conv_id")
-    return last.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS graph FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)) SELECT graph, 'unknown ends' AS what FROM e""")
+def collection_check(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with a part that is no longer listed among their nodes."""
+    lines = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("graph"), F.col("l_partkey").alias("node"))
+    kept = lines.join(A.table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("node")), "node", "left_semi").select("graph", "node").distinct()
+    loops = lines.select("graph", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit("B53").alias("label"))
+    return GraphCollection(lines.select("graph").distinct(), kept, loops).inconsistent().where("what = 'unknown ends'")
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
@@ -238,15 +284,28 @@ def id_set_algebra(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT conv_id, role, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS BIGINT) AS code FROM f)
 SELECT w.conv_id, w.turn, c.code FROM w JOIN c ON w.conv_id = c.conv_id AND w.role = c.role""")
 def dict_encode(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     w = A.table(spark, d, "conversations").select("conv_id", "turn", "role")
-    first = w.groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
-    codes = first.select("conv_id", "role", (F.dense_rank().over(Window.partitionBy("conv_id").orderBy("first")) - 1).cast("long").alias("code"))
-    return w.join(codes, ["conv_id", "role"]).select("conv_id", "turn", "code")
+    codes = B.dictionary(w, "role", "turn", ["conv_id"])
+    return B.encoded(w, "role", codes, ["conv_id"]).select("conv_id", "turn", "code")
+
+
+@query("""WITH f AS (SELECT p_type AS value, min(p_partkey) AS first FROM part GROUP BY p_type) SELECT value, CAST(row_number() OVER (ORDER BY first, value) - 1 AS BIGINT) AS code FROM f""")
+def dictionary(spark: SparkSession, d: str) -> DataFrame:
+    return B.dictionary(A.table(spark, d, "part"), "p_type", "p_partkey")
+
+
+@query("SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT p_type AS term FROM part)")
+def label_codes(spark: SparkSession, d: str) -> DataFrame:
+    return B.label_codes(A.table(spark, d, "part").select(F.col("p_type").alias("term")))
+
+
+@query("SELECT p_partkey AS id, p_type AS term FROM part WHERE p_type IN (SELECT p_type FROM part GROUP BY p_type HAVING count(*) > 3)")
+def label_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return B.over(A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("term")), 3)
 
 
 @query("""SELECT user_id AS graph, round(max(value) FILTER (event_type = 'click'), 6) AS click, round(max(value) FILTER (event_type = 'view'), 6) AS view, round(max(value) FILTER (event_type = 'error'), 6) AS error FROM events GROUP BY user_id""")
 def pivot_attr(spark: SparkSession, d: str) -> DataFrame:
-    e = A.table(spark, d, "events")
-    return e.groupBy(F.col("user_id").alias("graph")).agg(*[F.round(F.max(F.when(F.col("event_type") == k, F.col("value"))), 6).alias(k) for k in ("click", "view", "error")])
+    e = A.table(spark, d, "events").withColumnRenamed("user_id", "graph")
+    kinds = ["click", "view", "error"]
+    return G.pivoted(e, "graph", "event_type", "value", kinds).select("graph", *[F.round(k, 6).alias(k) for k in kinds])
