@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattisca.functions import encoders as C
+from lattisca.operators import clean as D
 from lattisca.operators import edges as E
 from lattisca.operators import filters as L
 from lattisca.operators import metrics as K
@@ -89,7 +90,7 @@ def test_components_and_trim_against_search(spark):
         if after == left:
             break
         left = after
-    assert {frozenset((r.src, r.dst)) for r in T.dangle_trim(e).collect()} == left
+    assert {frozenset((r.src, r.dst)) for r in D.dangle_trim(e).collect()} == left
 
 
 def test_runs_break_at_gaps(spark):
@@ -118,14 +119,6 @@ def test_edit_distance():
     assert M.edit_distance({(i, i + 1, "A") for i in range(9)}, one, sub, lambda _: 1.0) is None
 
 
-def test_dangle_trim_ends_or_fails(spark):
-    ring = [(1, i, (i + 1) % 3, "A") for i in range(3)]
-    edges = spark.createDataFrame(ring + [(1, i, i + 1, "A") for i in range(2, 8)], "graph long, src long, dst long, label string")
-    assert T.dangle_trim(edges).count() == 3
-    with pytest.raises(RuntimeError):
-        T.dangle_trim(edges, rounds=3)
-
-
 def test_edit_distance_of_larger_graphs():
     sub = lambda a, b: 0.0 if a == b else 1.0
     ring = {(i, (i + 1) % 9, "AB"[i % 2]) for i in range(9)}
