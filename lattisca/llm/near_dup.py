@@ -34,6 +34,9 @@ SMALL = 24
 MAYBE, SURE = 0.64, 0.92
 #: Of a shingle's hash, what is kept where sets travel to crowded buckets; what is found with them is confirmed on whole hashes.
 NARROW = np.uint32
+#: Pairs for each document of a cell that are compared one by one at most, and columns that a matrix has when all are counted.
+FEW_PAIRS = 8
+COLUMNS = 2048
 NEIGHBOURS = 3
 HUBS = 3
 KEPT_WORDS = 250_000
@@ -277,27 +280,70 @@ def _may_link(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> boo
     return 100 * common >= percent * (n + m - common)
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many hashes each set of ``left`` has in common with each of ``right``, by products of 0/1 matrices of some columns at
+    a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    column, owner = (np.cumsum(counts > 1) - 1)[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [first, first + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[i:j], column[i:j] - first] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def _forest(one: np.ndarray, two: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between places, some that join all components that they can, each round one for each component."""
+    label = np.unique(comp, return_inverse=True)[1]
+    out = []
+    while True:
+        a, b = label[one], label[two]
+        apart = a != b
+        one, two, a, b = one[apart], two[apart], a[apart], b[apart]
+        if not len(one):
+            return out
+        first = np.unique(np.concatenate([a, b]), return_index=True)[1] % len(one)
+        parent = np.arange(label.max() + 1)
+
+        def find(x: int) -> int:
+            while parent[x] != x:  # noqa: B023
+                parent[x] = parent[parent[x]]  # noqa: B023
+                x = int(parent[x])  # noqa: B023
+            return x
+
+        for k in np.unique(first).tolist():
+            x, y = find(int(a[k])), find(int(b[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(one[k]), int(two[k])))
+        label = np.array([find(x) for x in range(len(parent))])[label]
+
+
 def _joining_links(rows: pa.Table, percent: int, kind: type) -> list[tuple[int, int]]:
     """Of a cell, links between different components, found on the sets of hashes of ``kind``: only what joins
-    two components leaves, never the pairs that were looked at."""
+    two components leaves, never the pairs that were looked at. Where many pairs may be links, all are counted at once."""
     ids, comp, sizes = (rows.column(c).to_numpy() for c in ("id", "comp", "n"))
+    side = rows.column("side").to_numpy()
     sets = [np.frombuffer(s, kind) for s in rows.column("s").to_pylist()]
-    pairs = _pairs_between(_brief(rows), comp, rows.column("side").to_numpy())
-    parent = {int(c): int(c) for c in set(comp.tolist())}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in zip(*pairs[:2], strict=True):
-        x, y = find(int(comp[i])), find(int(comp[j]))
-        if x != y and _may_link(sets[i], sets[j], int(sizes[i]), int(sizes[j]), percent):
-            parent[x] = y
-            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-    return out
+    one, two, _ = _pairs_between(_brief(rows), comp, side)
+    if len(one) > FEW_PAIRS * len(ids):
+        across = 0 < side.sum() < len(side)
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side)) if across else (np.arange(len(ids)),) * 2
+        lost = sizes - np.array([len(s) for s in sets])
+        common = _common(sets, left, right) + np.minimum(lost[left][:, None], lost[right][None, :])
+        linked = (100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)) & (comp[left][:, None] != comp[right][None, :])
+        i, j = np.nonzero(linked if across else np.triu(linked, 1))
+        one, two = left[i], right[j]
+    else:
+        ok = np.array([_may_link(sets[i], sets[j], int(sizes[i]), int(sizes[j]), percent) for i, j in zip(one.tolist(), two.tolist(), strict=True)], bool)
+        one, two = one[ok], two[ok]
+    return [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in _forest(one, two, comp)]
 
 
 def _crowded_links(crowded: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int, scratch: Scratch) -> DataFrame:

@@ -269,6 +269,44 @@ def test_narrow_hashes_lose_and_make_no_link(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 2, 80).items()}
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+@pytest.mark.parametrize("kind", [np.uint8, np.uint64])
+def test_joining_links_of_a_cell(monkeypatch, few, kind):
+    """Pair by pair or by matrix products, a cell's links join what all links on whole hashes join, and may join more on narrow ones."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dup, "FEW_PAIRS", few)
+    monkeypatch.setattr(near_dup, "COLUMNS", 16)
+    rng = np.random.default_rng(36)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 36, replace=False), rng.integers(0, 2**63, int(rng.integers(0, 9)), dtype=np.uint64)])) for _ in range(60)] + [rng.integers(0, 2**63, 5, dtype=np.uint64)]
+    cut = np.uint64(64 - 8 * np.dtype(kind).itemsize)
+    parts = [np.unique((s >> cut).astype(kind)) if cut else s for s in sets]
+    briefs = [(near_dup.signature(s) & 0xFF).astype(np.uint8).tobytes() for s in sets]
+    comp = np.array([0] * 9 + list(range(9, len(sets))))
+    for side in (np.zeros(len(sets), int), (np.arange(len(sets)) % 3 == 0).astype(int)):
+        rows = pa.table({"id": np.arange(len(sets)), "brief": pa.array(briefs), "comp": comp, "side": side, "n": [len(s) for s in sets], "s": pa.array([p.tobytes() for p in parts])})
+        got = near_dup._joining_links(rows, 80, kind)
+        parent = list(range(len(sets)))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        def joined(links):
+            parent[:] = [0] * 9 + list(range(9, len(sets)))  # noqa: B023
+            for a, b in links:
+                x, y = find(a), find(b)  # noqa: B023
+                parent[max(x, y)] = min(x, y)  # noqa: B023
+            return [find(x) for x in range(len(sets))]  # noqa: B023
+
+        true = [(a, b) for a in range(len(sets)) for b in range(a) if (side[a] != side[b] or not side.any()) and near_dup._linked(sets[a], sets[b], 80)]
+        want, found = joined(true), joined(got)
+        assert found == want if kind is np.uint64 else all(found[a] == found[b] for a, b in true)
+        assert len(got) <= len(set(comp.tolist()))
+
+
 def test_deduplicate_keeps_other_texts_of_a_key(spark, odd, none):
     rng = random.Random(34)
     a, b, c = (words(rng, 60, 5000) for _ in range(3))
