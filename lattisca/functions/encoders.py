@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattisca.operators.edges import LABELS
+
 
 def _lookup(mapping: dict[str, int], value: Column) -> Column:
     return F.try_element_at(F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))]), value)
@@ -130,6 +132,10 @@ NODE_FEATURES: dict[str, Encoder | None] = {
 }
 
 
+#: Known edge attributes.
+EDGE_FEATURES: dict[str, Encoder] = {"label": OneHotEncoder({label: i for i, label in enumerate(LABELS)})}
+
+
 @dataclass
 class FeaturesComputer:
     """Columns ``features`` and ``targets``: the encodings of named attributes, one behind the other."""
@@ -173,6 +179,13 @@ class FeaturesComputer:
                 out = out.withColumn(column, F.concat(*parts))
         return out
 
+    def compute_edges(self, edges: DataFrame, names: tuple[str, ...] = ("label",)) -> DataFrame:
+        """Edges with ``features``: the encodings of their attributes, own encoders before the registry's."""
+        some = [self.custom.get(n, EDGE_FEATURES.get(n)) for n in names]
+        if None in some:
+            raise ValueError(f"{names[some.index(None)]} has no encoder")
+        return edges.withColumn("features", F.concat(*[e.encode(F.col(n)) for e, n in zip(some, names, strict=True)]))
+
     def without_others(self, nodes: DataFrame, keep: list[str]) -> DataFrame:
         return nodes.select(*dict.fromkeys([*keep, *self.features, *self.targets]))
 

@@ -13,6 +13,43 @@ from lattisca.operators import edges as E
 from lattisca.shared import ranked
 
 
+@dataclass(frozen=True)
+class GraphHandle:
+    """One graph of a collection, by name, path or value: give one of them."""
+
+    collection: GraphCollection
+
+    @classmethod
+    def get(cls, spark: SparkSession, *, name: str | None = None, among: GraphCollection | None = None, path: str | None = None, value: dict | None = None) -> GraphHandle:
+        if sum(x is not None for x in (name, path, value)) != 1:
+            raise ValueError("give one of name, path and value")
+        if name is not None:
+            if among is None:
+                raise ValueError("a name is looked up among a collection")
+            return cls(among.item(name))
+        if path is not None:
+            from lattisca.sources.graph_json import read_graphs
+
+            return cls(read_graphs(spark, path))
+        nodes = spark.createDataFrame([(value["name"], n) for n in value["nodes"]], "graph string, node string")
+        edges = spark.createDataFrame([(value["name"], *e) for e in value["edges"]], "graph string, src string, dst string, label string")
+        return cls(GraphCollection.of(nodes, edges))
+
+    def save(self, path: str) -> None:
+        from lattisca.sources.graph_json import write_graphs
+
+        write_graphs(self.collection, path)
+
+    def to_dict(self) -> dict:
+        """Name, nodes and edges, in order; a graph is bounded."""
+        c = self.collection
+        return {
+            "name": c.graphs.first()["graph"],
+            "nodes": sorted(r.node for r in c.nodes.select("node").collect()),
+            "edges": sorted((r.src, r.dst, r.label) for r in c.edges.select("src", "dst", "label").collect()),
+        }
+
+
 @dataclass(frozen=True)
 class GraphCollection:
     """``graphs`` (graph, attributes), ``nodes`` (graph, node, ...), ``edges`` (graph, src, dst, label, ...) and, if there are

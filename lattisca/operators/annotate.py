@@ -53,6 +53,12 @@ def classify_molecules(atoms: DataFrame, components: DataFrame, mass: tuple[floa
     return named.where("class is not null").select("comp", "class")
 
 
+def ligand_smiles(nodes: DataFrame, ligand: str, smiles: DataFrame) -> DataFrame:
+    """(graph, ligand_to_smiles): the ligands that a graph's residues bind, with what ``smiles`` (ligand, smiles) has of them."""
+    bound = nodes.where(F.col(ligand).isNotNull()).select("graph", F.col(ligand).alias("ligand")).distinct().join(smiles, "ligand")
+    return bound.groupBy("graph").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ligand", "smiles")))).alias("ligand_to_smiles"))
+
+
 def atom_coordinates(atoms: DataFrame, names: list[str]) -> DataFrame:
     """(graph, node, xyz_<atom> ...): null where a residue lacks the atom."""
     at = lambda n: F.first(F.when(F.col("atom") == n, F.array("x", "y", "z")), ignorenulls=True).alias(f"xyz_{n}")

@@ -49,6 +49,13 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("graph", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), symmetric_label(F.col("label")).alias("label")).distinct()
 
 
+def legacy_graph(nodes: DataFrame, edges: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Graphs as older tools want them: edges with known labels once and undirected, nodes with some attributes alone."""
+    known = known_edges(edges).select("graph", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.when(F.col("label") == "B35", "B53").otherwise(F.col("label")).alias("label"))
+    first = known.groupBy("graph", "src", "dst").agg(F.min("label").alias("label"))
+    return nodes.select("graph", "node", *keep), first
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(graph, node, other) for either end of each edge, in one pass."""
     ends = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))

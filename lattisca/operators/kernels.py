@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattisca.operators.similarity import edit_distance, hungarian
+from lattisca.operators.similarity import edit_distance, edit_distance_bound, hungarian
 
 BACKBONE = ("B53", "B35")
 
@@ -122,7 +122,9 @@ class RingKernel:
 
         def alike(a: list, b: list) -> float:
             d = edit_distance({tuple(e) for e in a}, {tuple(e) for e in b}, sub, indel)
-            return 0.0 if d is None else math.exp(-0.5 * d)
+            if d is None:  # too large for the distance itself; no more alike than by its bound
+                d = edit_distance_bound({tuple(e) for e in a}, {tuple(e) for e in b}, sub, indel)
+            return math.exp(-0.5 * d)
 
         gain = np.array([[alike(a, b) for b in two] for a in one])
         return normalised(-hungarian(-gain)[1], float(max(len(one), len(two))), self.normalization)
@@ -189,6 +191,16 @@ def label_table(labels: list[str]) -> list[tuple[str, str, float]]:
     return [(a, b, isostericity(a, b)) for a in labels for b in labels]
 
 
+def square_matrices(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(graph, names, matrix): each graph's similarities as a square, rows and columns by name, ones on the diagonal and zeros
+    where a pair is missing. ``pairs`` is (graph, a, b, similarity), ``roots`` (graph, root)."""
+    both = pairs.select("graph", F.explode(F.array(F.struct("a", "b", "similarity"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))).alias("e")).select("graph", "e.*")
+    rows = both.groupBy("graph", F.col("a").alias("root")).agg(F.map_from_entries(F.collect_list(F.struct("b", "similarity"))).alias("m"))
+    packed = roots.select("graph", "root").distinct().join(rows, ["graph", "root"], "left").groupBy("graph").agg(F.array_sort(F.collect_list("root")).alias("names"), F.map_from_entries(F.collect_list(F.struct("root", F.coalesce("m", F.map_from_arrays(F.array("root"), F.array(F.lit(1.0))))))).alias("m"))
+    cell = lambda x, y: F.when(x == y, F.lit(1.0)).otherwise(F.coalesce(F.try_element_at(F.try_element_at("m", x), y), F.lit(0.0)))
+    return packed.select("graph", "names", F.transform("names", lambda x: F.transform("names", lambda y: cell(x, y))).alias("matrix"))
+
+
 def kernel_matrix(rings: DataFrame, kernel: RingKernel, most: int | None = None, seed: int = 0) -> DataFrame:
     """(graph, a, b, similarity), a < b, of each graph's residues; ``most`` keeps so many of a graph, by hash, where asked for."""
     from pyspark.sql.window import Window

@@ -29,6 +29,25 @@ def tanimoto(members: DataFrame) -> DataFrame:
     return met.select("i", "j", (F.col("common") / (F.col("ni") + F.col("nj") - F.col("common"))).alias("similarity"))
 
 
+def similar_sets(members: DataFrame, least: float) -> DataFrame:
+    """(i, j, similarity), i < j, of sets at least ``least`` alike (above 0), without the quadratic cost of common items.
+
+    Sets that alike share one of the rarest n - ceil(least * n) + 1 items of each, so only those are in the index; what meets
+    there is counted on the whole sets.
+    """
+    rows = members.select("id", "item").distinct()
+    rare = rows.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
+    packed = join_split(rows, rare, ["item"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_n", "item"))).alias("s"))
+    whole = durable(packed.select("id", F.array_sort(F.transform("s", lambda x: x["item"])).alias("items"), F.transform("s", lambda x: x["item"]).alias("_by"), F.size("s").alias("n")))
+    first = whole.select("id", "n", F.explode(F.slice("_by", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("item"))
+    one, two = (first.select("item", F.col("id").alias(c), F.col("n").alias(f"n{c}")) for c in "ij")
+    met = one.join(two, "item").where((F.col("i") < F.col("j")) & (F.least("ni", "nj") >= F.greatest("ni", "nj") * least - 1e-9)).select("i", "j").distinct()
+    both = met.join(whole.select(F.col("id").alias("i"), F.col("items").alias("a")), "i").join(whole.select(F.col("id").alias("j"), F.col("items").alias("b")), "j")
+    common = F.size(F.array_intersect("a", "b"))
+    alike = both.select("i", "j", (common / (F.size("a") + F.size("b") - common)).alias("similarity"))
+    return alike.where(F.col("similarity") >= least - 1e-12)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -201,6 +220,24 @@ def edit_distance(one: set[tuple[int, int, str]], two: set[tuple[int, int, str]]
     return best
 
 
+def edit_distance_bound(one: set[tuple[int, int, str]], two: set[tuple[int, int, str]], substitute: Callable[[str, str], float], indel: Callable[[str], float]) -> float:
+    """No less than the edit distance, for graphs of any size: nodes are assigned by the labels around them, and the edges are
+    changed as that assignment asks for."""
+    a, b = sorted({n for e in one for n in e[:2]}), sorted({n for e in two for n in e[:2]})
+    around = [{n: Counter((k, n == s) for s, d, k in edges if n in (s, d)) for n in nodes} for edges, nodes in ((one, a), (two, b))]
+    size = max(len(a), len(b))
+    a, b = [*a, *[None] * (size - len(a))], [*b, *[None] * (size - len(b))]
+    apart = lambda p, q: sum(((p - q) + (q - p)).values())
+    cost = np.array([[apart(around[0].get(x, Counter()), around[1].get(y, Counter())) for y in b] for x in a], float)
+    to = {x: b[j] for x, j in zip(a, hungarian(cost)[0].tolist(), strict=True) if x is not None} if size else {}
+    second = {(s, d): k for s, d, k in two}
+    total = 0.0
+    for s, d, k in one:
+        other = second.pop((to[s], to[d]), None)
+        total += indel(k) if other is None else substitute(k, other)
+    return total + sum(map(indel, second.values()))
+
+
 def first_of_pure_clusters(rows: DataFrame, cluster: str, label: str, order: list[Column]) -> DataFrame:
     """Clusters with one distinct label, and of each the first row in ``order``."""
     pure = rows.groupBy(cluster).agg(F.countDistinct(label).alias("kinds")).where("kinds = 1").select(cluster)

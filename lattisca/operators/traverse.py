@@ -88,6 +88,19 @@ def missing_hashes(hashes: DataFrame, table: DataFrame) -> DataFrame:
     return hashes.select("hash").distinct().join(table, "hash", "left_anti")
 
 
+def node_rings(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(graph, root, hop, nodes): the nodes first met at each hop, in order."""
+    found = ball(edges, roots, depth, directed=False)
+    return found.groupBy("graph", "root", "hop").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+
+
+def graphlet_rings(edges: DataFrame, roots: DataFrame, hashes: DataFrame, depth: int) -> DataFrame:
+    """(graph, root, hop, hashes): the hashes of the balls around the nodes of each ring, in order. ``hashes`` is (graph, root,
+    hash), of every node."""
+    met = ball(edges, roots, depth, directed=False).join(hashes.select("graph", F.col("root").alias("node"), "hash"), ["graph", "node"])
+    return met.groupBy("graph", "root", "hop").agg(F.array_sort(F.collect_list("hash")).alias("hashes"))
+
+
 def wl_labels(edges: DataFrame, nodes: DataFrame, label: str, iterations: int = 2) -> DataFrame:
     """(graph, node, wl): labels refined by the sorted edge labels and labels of neighbours, hashed at each step."""
     now = nodes.select("graph", "node", F.md5(F.col(label).cast("string")).alias("wl"))

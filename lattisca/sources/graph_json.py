@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from lattisca.model import GraphCollection
+from lattisca.operators import edges as E
 from lattisca.shared import ranked
 
 #: The links' key has two names, by the age of the file.
@@ -22,8 +23,9 @@ def schema(node_fields: list[StructField] | None = None, edge_fields: list[Struc
     return StructType([StructField("graph", graph), StructField("nodes", ArrayType(node)), *[StructField(k, ArrayType(link)) for k in LINK_KEYS]])
 
 
-def read_graphs(spark: SparkSession, path: str, node_fields: list[StructField] | None = None, multi_line: bool = True) -> GraphCollection:
-    """A file, or with ``multi_line`` false a line, for each graph. Chain and position come from ids ``name.chain.position``;
+def read_graphs(spark: SparkSession, path: str, node_fields: list[StructField] | None = None, multi_line: bool = True, multigraph: bool = False) -> GraphCollection:
+    """A file, or with ``multi_line`` false a line, for each graph. Of several edges between two residues the backbone or the
+    last in the file stays, unless ``multigraph`` keeps all. Chain and position come from ids ``name.chain.position``;
     a graph without a name is named after its file."""
     raw = spark.read.schema(schema(node_fields)).option("multiLine", multi_line).json(path)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1)
@@ -31,8 +33,9 @@ def read_graphs(spark: SparkSession, path: str, node_fields: list[StructField] |
     graphs = named.select(F.col("name").alias("graph"), "pdbid")
     nodes = named.select(F.col("name").alias("graph"), F.inline("nodes")).withColumnRenamed("id", "node")
     nodes = nodes.withColumn("chain", F.split_part("node", F.lit("."), F.lit(2))).withColumn("pos", F.split_part("node", F.lit("."), F.lit(3)).try_cast(LongType()))
-    edges = named.select(F.col("name").alias("graph"), F.inline("links")).withColumnsRenamed({"source": "src", "target": "dst", "LW": "label"})
-    return GraphCollection(graphs, nodes, edges)
+    placed = named.select(F.col("name").alias("graph"), F.posexplode("links").alias("ord", "e")).select("graph", "ord", "e.*")
+    edges = placed.withColumnsRenamed({"source": "src", "target": "dst", "LW": "label"})
+    return GraphCollection(graphs, nodes, (edges if multigraph else E.simple_graph(edges, ["ord"])).drop("ord"))
 
 
 def to_json(collection: GraphCollection) -> DataFrame:

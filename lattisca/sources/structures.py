@@ -205,10 +205,10 @@ def structure_graphs(atoms: DataFrame, pairs: DataFrame | None = None, modified:
     return GraphCollection(nodes.select("graph").distinct(), nodes, edges)
 
 
-def read_representatives(spark: SparkSession, path: str) -> DataFrame:
-    """(pdbid, chains) from a list of representative sets: quoted entries ``PDB|model|chain`` joined by plus signs in the
+def read_representatives(spark: SparkSession, path: str, resolution: str = "4.0A") -> DataFrame:
+    """(pdbid, chains) from a list of a resolution, whose name stands in the path as ``{resolution}`` if there are several, a list of representative sets: quoted entries ``PDB|model|chain`` joined by plus signs in the
     second column."""
-    rows = spark.read.csv(path).select(F.explode(F.split("_c1", r"\+")).alias("entry")).where(F.col("entry").contains("|"))
+    rows = spark.read.csv(path.format(resolution=resolution)).select(F.explode(F.split("_c1", r"\+")).alias("entry")).where(F.col("entry").contains("|"))
     return rows.groupBy(F.lower(F.split_part("entry", F.lit("|"), F.lit(1))).alias("pdbid")).agg(F.array_sort(F.collect_set(F.split_part("entry", F.lit("|"), F.lit(3)))).alias("chains"))
 
 
