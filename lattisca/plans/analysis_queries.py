@@ -299,7 +299,7 @@ def pure_cluster_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def greedy_cluster(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws(".", "l_partkey", "l_suppkey").alias("item"))
-    close = M.tanimoto(m).where("similarity >= 0.15").select("i", "j")
+    close = M.similar_sets(m, 0.15).select("i", "j")
     items = m.groupBy("id").agg(F.count(F.lit(1)).alias("length"))
     return M.greedy_clusters(items, close)
 

@@ -20,7 +20,7 @@ from lattisca.shared import shared_path
 from lattisca.sources import adapters as A
 from lattisca.sources import graph_json
 from lattisca.sources import structures as Z
-from lattisca.streaming.incremental import append_batches, counts_by_window, read_events
+from lattisca.streaming.incremental import append_batches, counts_by_window, read_events, sessions
 from lattisca.tasks import Task
 
 
@@ -305,3 +305,13 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     path, state = shared_path(spark, "windows"), shared_path(spark, "state")
     append_batches(counts_by_window(read_events(spark, f"{d}/events.parque[t]")), path, state).awaitTermination()
     return spark.read.parquet(path).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s, m GROUP BY user_id, run, mark HAVING max(ts) + INTERVAL 30 MINUTE <= mark""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream: each user's runs without a gap of half an hour, those that are over."""
+    path, state = shared_path(spark, "sessions"), shared_path(spark, "state")
+    append_batches(sessions(read_events(spark, f"{d}/events.parque[t]")), path, state).awaitTermination()
+    return spark.read.parquet(path).withColumn("start", F.col("start").cast("timestamp_ntz"))

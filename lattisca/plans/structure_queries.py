@@ -323,3 +323,78 @@ def published_split(spark: SparkSession, d: str) -> DataFrame:
     lists = spark.createDataFrame([("3", "train"), ("10", "train"), ("20", "val"), ("7", "test"), ("-1", "test")], "name string, split string")
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"))
     return X.name_split(rows, "name", lists).select(F.col("name").cast("int").alias("doc_id"), "split")
+
+
+# --- rings of nodes and graphlets, edge features, legacy graphs
+
+
+UBALL = f"""WITH e AS (SELECT DISTINCT graph, src, dst FROM ({A.CONV_EDGES})), roots AS (SELECT conv_id AS graph, turn AS root FROM conversations),
+h1 AS (SELECT r.graph, r.root, e.dst AS node, 1 AS hop FROM roots r JOIN e ON e.graph = r.graph AND e.src = r.root),
+h2 AS (SELECT DISTINCT h1.graph, h1.root, e.dst AS node, 2 AS hop FROM h1 JOIN e ON e.graph = h1.graph AND e.src = h1.node),
+ball AS (SELECT graph, root, node, min(hop) AS hop FROM (SELECT graph, root, root AS node, 0 AS hop FROM roots UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY graph, root, node)"""
+
+
+@query(f"{UBALL} SELECT graph, root, hop, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS nodes FROM ball GROUP BY graph, root, hop")
+def node_rings(spark: SparkSession, d: str) -> DataFrame:
+    rings = T.node_rings(A.conv_edges(spark, d), _roots(spark, d), 2)
+    return rings.withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), ","))
+
+
+@query(f"""{HASHES}, x1 AS (SELECT r.graph, r.root, u.dst AS node, 1 AS hop FROM roots r JOIN u ON u.graph = r.graph AND u.src = r.root),
+ball AS (SELECT graph, root, root AS node, 0 AS hop FROM roots UNION ALL SELECT * FROM x1 WHERE node <> root)
+SELECT b.graph, b.root, b.hop, string_agg(h.hash, ',' ORDER BY h.hash) AS hashes FROM ball b JOIN h ON h.graph = b.graph AND h.root = b.node GROUP BY b.graph, b.root, b.hop""")
+def graphlet_rings(spark: SparkSession, d: str) -> DataFrame:
+    rings = T.graphlet_rings(A.conv_edges(spark, d), _roots(spark, d), _hashes(spark, d), 1)
+    return rings.withColumn("hashes", F.array_join("hashes", ","))
+
+
+@query(f"""WITH e AS ({A.CONV_EDGES}), k AS (SELECT graph, least(src, dst) AS src, greatest(src, dst) AS dst, CASE label WHEN 'B35' THEN 'B53' ELSE label END AS label FROM e)
+SELECT graph, src, dst, min(label) AS label FROM k GROUP BY graph, src, dst""")
+def legacy_graph(spark: SparkSession, d: str) -> DataFrame:
+    return E.legacy_graph(A.conv_nodes(spark, d), A.conv_edges(spark, d), ["code"])[1]
+
+
+@query(f"SELECT graph, src, dst, CAST(CASE label WHEN 'B53' THEN 0 WHEN 'cSW' THEN 6 WHEN 'cWS' THEN 8 WHEN 'cWW' THEN 9 WHEN 'tHS' THEN 11 WHEN 'tSH' THEN 13 ELSE 19 END AS INTEGER) AS slot FROM ({A.CONV_EDGES})")
+def encode_edges(spark: SparkSession, d: str) -> DataFrame:
+    from lattisca.functions.encoders import FeaturesComputer
+
+    edges = FeaturesComputer().compute_edges(A.conv_edges(spark, d))
+    return edges.select("graph", "src", "dst", (F.array_position("features", F.lit(1.0).cast("float")) - 1).cast("int").alias("slot"))
+
+
+@query("""WITH n AS (SELECT o_custkey AS graph, CASE WHEN o_orderstatus <> 'P' THEN 'L' || (o_orderkey % 7) END AS ligand FROM orders), s AS (SELECT 'L' || k AS ligand, 'C' || k AS smiles FROM (SELECT unnest([0, 1, 2, 4, 5]) AS k)),
+b AS (SELECT DISTINCT n.graph, n.ligand, s.smiles FROM n JOIN s ON s.ligand = n.ligand) SELECT graph, string_agg(ligand || '=' || smiles, ',' ORDER BY ligand) AS smiles FROM b GROUP BY graph""")
+def ligand_smiles(spark: SparkSession, d: str) -> DataFrame:
+    from lattisca.operators import annotate as U
+
+    ligand = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("L"), (F.col("o_orderkey") % 7).cast("string")))
+    nodes = table(spark, d, "orders").select(F.col("o_custkey").alias("graph"), ligand.alias("ligand"))
+    smiles = spark.createDataFrame([(f"L{k}", f"C{k}") for k in (0, 1, 2, 4, 5)], "ligand string, smiles string")
+    found = U.ligand_smiles(nodes, "ligand", smiles)
+    return found.select("graph", F.array_join(F.transform(F.map_entries("ligand_to_smiles"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("smiles"))
+
+
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS id, CAST(l_partkey % 90 AS VARCHAR) AS item FROM lineitem), s AS (SELECT id, count(*) AS n FROM m GROUP BY id),
+c AS (SELECT a.id AS i, b.id AS j, count(*) AS common FROM m a JOIN m b ON a.item = b.item AND a.id < b.id GROUP BY a.id, b.id)
+SELECT i, j, round(common / (x.n + y.n - common), 6) AS similarity FROM c JOIN s x ON x.id = i JOIN s y ON y.id = j WHERE common / (x.n + y.n - common) >= 0.75""")
+def similar_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with much the same shelves, through an index of their rarest items."""
+    from lattisca.operators import similarity as M
+
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 90).cast("string").alias("item"))
+    return M.similar_sets(m, 0.75).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH p AS (SELECT conv_id AS graph, a.turn AS a, b.turn AS b, 1.0 / (1 + b.turn - a.turn) AS s FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn < b.turn AND (a.turn + b.turn) % 3 <> 0),
+n AS (SELECT conv_id AS graph, turn AS x FROM conversations), c AS (SELECT n.graph, n.x, m.x AS y, CASE WHEN n.x = m.x THEN 1.0 ELSE coalesce(p.s, 0) END AS v FROM n JOIN n m ON m.graph = n.graph LEFT JOIN p ON p.graph = n.graph AND p.a = least(n.x, m.x) AND p.b = greatest(n.x, m.x))
+SELECT graph, CAST(x AS INTEGER) AS name, round(sum(v * (y + 1)), 6) AS total FROM c GROUP BY graph, x""")
+def square_matrices(spark: SparkSession, d: str) -> DataFrame:
+    """Similarities of turns as squares; a row's sum tells its entries and their places."""
+    from lattisca.operators import kernels as N
+
+    t = _roots(spark, d)
+    both = t.select("graph", F.col("root").alias("a")).join(t.select("graph", F.col("root").alias("b")), "graph").where("a < b and (a + b) % 3 <> 0")
+    squares = N.square_matrices(both.withColumn("similarity", 1.0 / (1 + F.col("b") - F.col("a"))), t)
+    rows = squares.select("graph", "names", F.posexplode("matrix").alias("at", "row"))
+    total = F.aggregate(F.zip_with("row", "names", lambda v, n: v * (n + 1)), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("graph", F.get("names", F.col("at")).cast("int").alias("name"), F.round(total, 6).alias("total"))
