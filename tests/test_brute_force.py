@@ -278,3 +278,59 @@ def test_sequence_batches(spark):
             of += [k] * len(rows[g].x)
             x += rows[g].x
         assert (r.x, r.edge_index, r.graph_of) == (x, edges, of)
+
+
+def test_similar_sets_are_those_of_the_full_join(spark):
+    rng = random.Random(6)
+    rows = [(i, f"x{rng.choice([rng.randrange(8), rng.randrange(60)])}") for i in range(150) for _ in range(rng.randrange(1, 12))]
+    m = spark.createDataFrame(rows, "id long, item string")
+    for least in (0.15, 0.5, 0.8, 1.0):
+        want = {(r.i, r.j): r.similarity for r in M.tanimoto(m).collect() if r.similarity >= least}
+        got = {(r.i, r.j): r.similarity for r in M.similar_sets(m, least).collect()}
+        assert got == pytest.approx(want) and want
+
+
+def test_bound_of_the_edit_distance():
+    rng = random.Random(7)
+    sub = lambda a, b: 0.0 if a == b else 1.0
+    graph = lambda n, m: {(a, b): rng.choice("AB") for a, b in (rng.sample(range(n), 2) for _ in range(m))}
+    flat = lambda g: {(a, b, k) for (a, b), k in g.items()}
+    for _ in range(40):
+        one, two = flat(graph(5, 6)), flat(graph(5, 6))
+        assert M.edit_distance(one, two, sub, lambda _: 1.0) <= M.edit_distance_bound(one, two, sub, lambda _: 1.0)
+    path = {(i, i + 1, "A") for i in range(30)}
+    assert M.edit_distance_bound(path, {(a + 100, b + 100, k) for a, b, k in path}, sub, lambda _: 1.0) == 0
+    kernel = N.RingKernel("R_graphlets", 1)
+    assert kernel.r_graphlets([list(path)], [[(a + 9, b + 9, "A") for a, b, _ in path]]) == 1
+    assert M.edit_distance_bound(set(), path, sub, lambda _: 1.0) == 30
+
+
+def test_graph_handles(spark, tmp_path):
+    from lattisca.model import GraphHandle
+
+    value = {"name": "1abc", "nodes": ["1abc.A.1", "1abc.A.2"], "edges": [("1abc.A.1", "1abc.A.2", "B35"), ("1abc.A.1", "1abc.A.2", "cWW")]}
+    g = GraphHandle.get(spark, value=value)
+    assert g.to_dict() == value
+    g.save(f"{tmp_path}/g")
+    assert GraphHandle.get(spark, path=f"{tmp_path}/g").to_dict() == value | {"edges": value["edges"][:1]}  # the backbone wins
+    assert GraphHandle.get(spark, name="1abc", among=g.collection).to_dict() == value
+    with pytest.raises(ValueError, match="one of"):
+        GraphHandle.get(spark, value=value, path="x")
+
+
+def test_build_command(spark, tmp_path):
+    """Structures to a collection, pieces and rings; a second run with --resume leaves what is there."""
+    import argparse
+
+    from lattisca.__main__ import build
+    from lattisca.sources import structures as Z
+
+    Z.write_structures(source_queries._atoms(spark, SF).where("pdbid in ('m0', 'm1', 'm2')"), f"{tmp_path}/cif")
+    args = argparse.Namespace(structures=f"{tmp_path}/cif/*", out=f"{tmp_path}/out", pairs=None, debug=2, chop=False, annotate=True, resume=True)
+    build(spark, args)
+    graphs = spark.read.parquet(f"{tmp_path}/out/graphs/graphs")
+    assert sorted(r.graph for r in graphs.collect()) == ["m0", "m1"]
+    before = (tmp_path / "out/hashes/_SUCCESS").stat().st_mtime
+    assert spark.read.parquet(f"{tmp_path}/out/hashes").count() > 0
+    build(spark, args)
+    assert (tmp_path / "out/hashes/_SUCCESS").stat().st_mtime == before
