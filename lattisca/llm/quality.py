@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import ASCII_SPACE, table
+from lattisca.llm.common import ASCII_SPACE, join_split, table
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -107,7 +107,8 @@ def line_quality(docs: DataFrame, host: str = "source", key: str = "doc_id", tex
     first = F.struct(F.col("m").alias("m"), F.xxhash64("doc_id", "th").alias("h"), F.lit(0).alias("n"))
     each = base.select("doc_id", "host", "th", F.explode(F.concat(F.array(first), F.transform("counted", lambda x: F.struct(F.lit(None).cast(base.schema["m"].dataType).alias("m"), x["h"].alias("h"), x["n"].alias("n"))))).alias("e"))
     each = each.select("doc_id", "host", "th", F.col("e.m").alias("m"), F.col("e.h").alias("h"), F.col("e.n").alias("n"))
-    met = each.join(counts.withColumn("often", F.lit(True)), ["host", "h"], "left")
+    # A host's commonest line stands in most of its documents.
+    met = join_split(each, counts.withColumn("often", F.lit(True)), ["host", "h"], "left")
     out = met.groupBy("doc_id", "host", "th").agg(
         F.max("m").alias("m"), F.count("m").alias("copies"), F.coalesce(F.sum(F.when(F.col("often"), F.col("n"))), F.lit(0)).alias("removed")
     )
@@ -124,7 +125,8 @@ def cleaned_text(docs: DataFrame, host: str = "source", key: str = "doc_id", tex
     hashes = F.array_distinct(F.transform(_lines(F.coalesce("t", F.lit("")), line_words), lambda x: x["h"]))
     often = rows.select("host", F.explode(hashes).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") > max_docs)
     often = often.join(sizes, "host").where(F.col("have") * 1000 > F.col("docs") * max_per_thousand).select("host", "h")
-    found = rows.select("doc_id", F.xxhash64("t").alias("th"), "host", F.explode(hashes).alias("h")).join(often, ["host", "h"]).groupBy("doc_id", "th", "host").agg(F.collect_set("h").alias("drop"))
+    found = rows.select("doc_id", F.xxhash64("t").alias("th"), "host", F.explode(hashes).alias("h"))
+    found = join_split(found, often, ["host", "h"]).groupBy("doc_id", "th", "host").agg(F.collect_set("h").alias("drop"))
     body = rows.withColumn("th", F.xxhash64("t")).join(found, ["doc_id", "th", "host"], "left")
     line = F.filter(F.split("t", "\n"), lambda l: ~F.coalesce(F.array_contains("drop", F.xxhash64(normal_line(l))), F.lit(False)))  # noqa: E741
     return body.select("doc_id", "host", F.array_join(line, "\n").alias("text"))
