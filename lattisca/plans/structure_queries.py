@@ -280,11 +280,12 @@ def ball_table(spark: SparkSession, d: str) -> DataFrame:
     return t.select("hash", "n", F.col("first.graph").alias("first_graph"), F.col("first.root").alias("first_root"))
 
 
-@query(f"{HASHES} SELECT DISTINCT hash FROM h WHERE hash NOT IN (SELECT hash FROM h WHERE graph % 2 = 0)")
+@query(f"{HASHES} SELECT DISTINCT hash FROM h WHERE hash NOT IN (SELECT hash FROM h WHERE graph IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) <= 4))")
 def missing_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """The hashes that a table built from every second graph lacks."""
+    """The hashes that a table built from conversations of up to four turns lacks."""
     found = _hashes(spark, d)
-    return T.missing_hashes(found, T.hash_table(found.where("graph % 2 = 0")))
+    short = L.by_size(A.conv_nodes(spark, d), 0, 5).select("graph")
+    return T.missing_hashes(found, T.hash_table(found.join(short, "graph", "left_semi")))
 
 
 # --- filters in combination, splits
