@@ -204,4 +204,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def op9_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """With ``spans``, the places of the hit passages in the texts themselves."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=True)

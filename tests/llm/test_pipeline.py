@@ -280,6 +280,9 @@ def test_contamination_of_whole_table(spark, documents):
                     names |= found
         want = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == want
+        places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        inside = {j for x in got[i].spans or [] for j, (a, b) in enumerate(places) if x.first <= a and b <= x.behind}
+        assert inside == hit
     assert any(r.contaminated for r in got.values())
 
 
