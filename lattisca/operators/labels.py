@@ -25,8 +25,10 @@ def correlations(members: DataFrame) -> DataFrame:
     both = one.join(two, "id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
     met = both.join(sizes.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b")
     met = met.join(F.broadcast(total))  # one row
-    top = F.col("items") * F.col("both") - F.col("na") * F.col("nb")
-    below = F.sqrt(F.col("na") * (F.col("items") - F.col("na")) * F.col("nb") * (F.col("items") - F.col("nb")))
+    # Products of two counts are exact as decimals; the product of four is beyond any whole number's range, so it is a double.
+    exact = {c: F.col(c).cast("decimal(19,0)") for c in ("items", "both", "na", "nb")}
+    top = (exact["items"] * exact["both"] - exact["na"] * exact["nb"]).cast("double")
+    below = F.sqrt(F.col("na").cast("double") * (F.col("items") - F.col("na")) * F.col("nb") * (F.col("items") - F.col("nb")))
     return met.select("a", "b", F.when(below > 0, top / below).otherwise(0.0).alias("corr"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lattisca.operators import clean as D
 from lattisca.operators import kernels as N
+from lattisca.operators import labels as B
 from lattisca.operators import partition as P
 from lattisca.operators import predicates as H
 from lattisca.operators import represent as R
@@ -290,6 +291,22 @@ def test_similar_sets_are_those_of_the_full_join(spark):
         assert got == pytest.approx(want) and want
 
 
+def many_members(spark, n=120_000):
+    """Terms of so many items that the product of four counts is beyond 64 bits: two that halve the items across each other,
+    one that is nearly the first, and one of the items without these."""
+    a, b, c = F.col("id") < n // 2, F.col("id") % 2 == 0, F.col("id") < n // 2 - n // 100
+    terms = F.array(F.when(a, "a"), F.when(b, "b"), F.when(c, "c"), F.when(~a & ~b, "d"))
+    return spark.range(n).select("id", F.explode(terms).alias("term")).where("term is not null")
+
+
+def test_correlations_of_many_items(spark):
+    n = 120_000
+    x = {"a": np.arange(n) < n // 2, "b": np.arange(n) % 2 == 0, "c": np.arange(n) < n // 2 - n // 100}
+    want = {(p, q): np.corrcoef(x[p], x[q])[0, 1] for p, q in ("ab", "ac", "bc")}  # "d" shares no item
+    got = {(r.a, r.b): r["corr"] for r in B.correlations(many_members(spark, n)).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_bound_of_the_edit_distance():
     rng = random.Random(7)
     sub = lambda a, b: 0.0 if a == b else 1.0
