@@ -307,6 +307,12 @@ def test_correlations_of_many_items(spark):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_pruning_of_many_items(spark):
+    m = many_members(spark)
+    kept = {limit: {r.term for r in B.uncorrelated(m, limit).select("term").distinct().collect()} for limit in (0.9, 0.99)}
+    assert kept == {0.9: {"a", "b", "d"}, 0.99: {"a", "b", "c", "d"}}
+
+
 def test_bound_of_the_edit_distance():
     rng = random.Random(7)
     sub = lambda a, b: 0.0 if a == b else 1.0
