@@ -21,6 +21,8 @@ from lattisca.llm.common import hash_unit, smallest_hashes, table, with_text
 #: The most labelled texts of one language that the machines are fitted on: those with the smallest hash of their id.
 PER_LANGUAGE = 400
 BITS = 13
+#: Rows or columns of the table of texts that are worked on at once: the driver holds that table and no copy of it.
+BLOCK = 128
 #: Below this score a document's language is not taken as known.
 MIN_SCORE = 0.2
 
@@ -49,21 +51,29 @@ def grams(text: str) -> np.ndarray:
     return (code * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 25) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by dual coordinate descent; the bias is the weight of a constant."""
+def squares(x: np.ndarray, scale: np.ndarray | float = 1.0) -> np.ndarray:
+    """The sum of squares of each row times ``scale``."""
+    return np.concatenate([((x[i : i + BLOCK] * scale) ** 2).sum(1) for i in range(0, len(x), BLOCK)])
+
+
+def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 25, rows: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss, by dual coordinate descent; the bias is the weight of a constant. ``y`` belongs
+    to the ``rows`` (all) of ``x``, of which no copy is made."""
     n = len(y)
+    rows = np.arange(n) if rows is None else rows
     rng = np.random.default_rng(0)
     w, bias, alpha = np.zeros(x.shape[1], x.dtype), 0.0, np.zeros(n)
-    q = (x * x).sum(1) + 1.0 + 0.5 / c
+    q = squares(x)[rows] + 1.0 + 0.5 / c
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(n):
-            g = y[i] * (float(x[i] @ w) + bias) - 1 + alpha[i] * 0.5 / c
+            row = x[rows[i]]
+            g = y[i] * (float(row @ w) + bias) - 1 + alpha[i] * 0.5 / c
             new = max(0.0, alpha[i] - g / q[i])
             step = (new - alpha[i]) * y[i]
             if step:
                 most = max(most, abs(step))
-                w += step * x[i]
+                w += step * row
                 bias += step
                 alpha[i] = new
         if most < 1e-3:
@@ -83,20 +93,20 @@ class LanguageModel:
     @classmethod
     def fit(cls, texts: list[str], languages: list[str]) -> LanguageModel:
         """Machines ("family", f) tell f from the rest; (a, b) tell language a (positive) from b of the same family."""
-        rows, kept = [], []
+        x, kept = np.zeros((len(texts), 1 << BITS), np.float32), []
         for text, language in zip(texts, languages, strict=True):
             g = grams(text)
             if len(g):
-                rows.append(np.bincount(g, minlength=1 << BITS).astype(np.float32) / len(g))
+                x[len(kept)] = np.bincount(g, minlength=1 << BITS).astype(np.float32) / len(g)
                 kept.append(language)
         model = cls()
         for language in sorted(set(kept)):
             model.families.setdefault(family_of(language), []).append(language)
-        if not rows:
+        if not kept:
             return model
-        x, names = np.stack(rows), np.array(kept)
-        scale = 1.0 / (x.std(0) + 1e-4)
-        scale /= np.sqrt(((x * scale) ** 2).sum(1).mean())
+        x, names = x[: len(kept)], np.array(kept)
+        scale = 1.0 / (np.concatenate([x[:, i : i + BLOCK].std(0) for i in range(0, x.shape[1], BLOCK)]) + 1e-4)
+        scale /= np.sqrt(squares(x, scale).mean())
         x *= scale
         families = np.array([family_of(k) for k in kept])
         columns, biases = [], []
@@ -107,8 +117,8 @@ class LanguageModel:
             biases.append(b)
         for some in model.families.values():
             for one, two in combinations(some, 2):
-                at = (names == one) | (names == two)
-                w, b = svm(x[at], np.where(names[at] == one, 1.0, -1.0))
+                at = np.flatnonzero((names == one) | (names == two))
+                w, b = svm(x, np.where(names[at] == one, 1.0, -1.0), rows=at)
                 model.machines.append((one, two))
                 columns.append(w * scale)
                 biases.append(b)

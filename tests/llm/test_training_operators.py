@@ -697,3 +697,20 @@ def test_fit_uses_full_patterns():
         for p in parts:
             used[p] += times
     assert (used == counts).all() and sum(t for _, t in planned) == 3 + 5 + 6 + 4
+
+
+def test_language_fit_holds_its_table_once():
+    """The driver fits; beside the table of texts it has no room for copies of it."""
+    import tracemalloc
+
+    from lattisca.llm import language
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghij"[k : k + 5]) for _ in range(6)) for _ in range(40)) for k in range(4) for _ in range(150)]
+    names = [n for n in ("en", "de", "fr", "xx") for _ in range(150)]
+    tracemalloc.start()
+    model = language.LanguageModel.fit(texts, names)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * len(texts) * 4 * (1 << language.BITS)
+    assert sum(model.predict(t)[0] == n for t, n in zip(texts, names, strict=True)) > 0.95 * len(texts)
