@@ -4,16 +4,29 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lattisca.operators.partition import linked_components
 from lattisca.shared import durable, join_split
 
+#: Combinations of a set's items in the index at most, for each band of sizes, where more than single items make a key.
+COMBINATIONS = 32
+#: Items that are broadcast at most with their counts; more are joined by a shuffle.
+BROADCAST_ITEMS = 100_000
+#: Members of a block of equal sets (about: they are dealt by hash), and pairs that a task writes out (about).
+BLOCK = 1024
+PAIRS_A_TASK = 4_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
 
 def tanimoto(members: DataFrame) -> DataFrame:
     """(i, j, similarity), i < j, of sets that share an item; others have 0. ``members`` is (id, item).
@@ -29,23 +42,118 @@ def tanimoto(members: DataFrame) -> DataFrame:
     return met.select("i", "j", (F.col("common") / (F.col("ni") + F.col("nj") - F.col("common"))).alias("similarity"))
 
 
-def similar_sets(members: DataFrame, least: float) -> DataFrame:
-    """(i, j, similarity), i < j, of sets at least ``least`` alike (above 0), without the quadratic cost of common items.
-
-    Sets that alike share one of the rarest n - ceil(least * n) + 1 items of each, so only those are in the index; what meets
-    there is counted on the whole sets.
+def _at_least(x: float) -> int:
+    return math.ceil(x - 1e-9)
+
+
+@lru_cache(maxsize=8)
+def _bands(least: float, most: int) -> list[tuple[int, int, int]]:
+    """(first, last, level): sizes from 1 to ``most`` in bands, small sizes each for itself, and of how many items the keys are by
+    which pairs meet whose smaller set is in the band: of as many as leave few combinations."""
+    out, first = [], 1
+    while first <= most:
+        last = max(first, math.floor(first / math.sqrt(least) + 1e-9))
+        largest = math.floor(last / least + 1e-9)
+        spare, level = largest - _at_least(least * largest), 1
+        highest = _at_least(2 * least / (1 + least) * first)
+        if not spare:
+            level = highest
+        while level < highest and math.comb(spare + level + 1, level + 1) <= COMBINATIONS:
+            level += 1
+        out.append((first, last, level))
+        first = last + 1
+    return out
+
+
+def _wanted(least: float, n: int, most: int) -> list[tuple[int, int, int, bool]]:
+    """(band, level, items, larger): the keys of a set of ``n`` items are the combinations of ``level`` of its first ``items``, as
+    the larger set of a pair for each band of smaller ones, and as the smaller one for its own band."""
+    need = lambda x: _at_least(least * (x + n) / (1 + least))
+    low, out = _at_least(least * n), []
+    for first, last, level in _bands(least, most):
+        if first <= n and last >= low:
+            o = need(min(n, max(first, low)))
+            if o < n:  # else only equal sets are alike, which are one class
+                out.append((first, level, n - o + level, True))
+            if n <= last:
+                out.append((first, level, n - need(n) + level, False))
+    return out
+
+
+def _set_keys(classes: DataFrame, least: float) -> DataFrame:
+    """(id, n, key, larger). Sets of n <= m items that are alike have at least o = least * (n + m) / (1 + least) in common. In one
+    order of all items the l-th of these is among the first n - o + l of one and m - o + l of the other, so a combination of l
+    of these is in both. The more items a key has, the fewer meet that are not alike; with l = o none do. Keys are hashes: what
+    falls together is told apart on the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            held = batch.column(2)
+            starts, values = held.offsets.to_numpy(), held.values.to_numpy().view(np.uint64)
+            long = np.diff(starts)
+            most = 1 << int(max(sizes.max(initial=1), 1)).bit_length()
+            for n, m in set(zip(sizes.tolist(), long.tolist(), strict=True)):
+                at = np.flatnonzero((sizes == n) & (long == m))
+                items = values[starts[at][:, None] + np.arange(m)[None, :]]
+                for band, level, first, larger in _wanted(least, n, most):
+                    some = np.array(list(combinations(range(min(first, m)), level)), np.int64).reshape(-1, level)
+                    key = np.full((len(at), len(some)), band, np.uint64)
+                    for k in range(level):
+                        key = (key ^ (key >> np.uint64(29))) * _MIX + items[:, some[:, k]]
+                    key = (key ^ (key >> np.uint64(32))) * _MIX
+                    of = pa.array(np.repeat(at, len(some)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(np.full(len(of), n, np.int64)), pa.array(key.ravel().view(np.int64)), pa.array(np.full(len(of), larger))], names=["id", "n", "key", "larger"])
+
+    rows = classes.select("id", "n", F.transform("items", lambda x: F.xxhash64(x)).alias("h"))
+    kind = classes.schema["id"].dataType
+    return rows.mapInArrow(run, StructType([StructField("id", kind), StructField("n", LongType()), StructField("key", LongType()), StructField("larger", BooleanType())]))
+
+
+def _alike_classes(classes: DataFrame, least: float) -> DataFrame:
+    """(i, j, similarity) of classes; one of several members is alike to itself, but for a null item, which is never common."""
+    keys = durable(_set_keys(classes, least))
+    one = keys.where(~F.col("larger")).select("key", F.col("id").alias("i"), F.col("n").alias("ni"))
+    two = keys.where("larger").select("key", F.col("id").alias("j"), F.col("n").alias("nj"))
+    met = one.join(two, "key").where((F.struct("ni", "i") < F.struct("nj", "j")) & (F.col("ni") >= F.col("nj") * least - 1e-9)).select("i", "j").distinct()
+    a, b = (classes.select(F.col("id").alias(c), F.col("items").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ij")
+    both = met.join(a, "i").join(b, "j").withColumn("common", F.size(F.array_intersect("si", "sj")))
+    own = classes.where("members > 1").select(F.col("id").alias("i"), F.col("id").alias("j"), F.col("n").alias("ni"), F.col("n").alias("nj"), F.size("items").alias("common"))
+    every = both.select(*own.columns).union(own)
+    return every.select("i", "j", (F.col("common") / (F.col("ni") + F.col("nj") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
+
+
+def similar_sets(members: DataFrame, least: float, digits: int | None = None) -> DataFrame:
+    """(i, j, similarity), i < j, of sets at least ``least`` alike (above 0), without the quadratic cost of common items; rounded to
+    ``digits``. A null item counts in its set and is never common.
+
+    Equal sets are one class. Classes meet by combinations of their rarest items and are compared as a whole; what is alike
+    is then written out for all members, in blocks, so that a large class is no single task's work.
     """
-    rows = members.select("id", "item").distinct()
-    rare = rows.groupBy("item").agg(F.count(F.lit(1)).alias("_n"))
-    packed = join_split(rows, rare, ["item"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_n", "item"))).alias("s"))
-    whole = durable(packed.select("id", F.array_sort(F.transform("s", lambda x: x["item"])).alias("items"), F.transform("s", lambda x: x["item"]).alias("_by"), F.size("s").alias("n")))
-    first = whole.select("id", "n", F.explode(F.slice("_by", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("item"))
-    one, two = (first.select("item", F.col("id").alias(c), F.col("n").alias(f"n{c}")) for c in "ij")
-    met = one.join(two, "item").where((F.col("i") < F.col("j")) & (F.least("ni", "nj") >= F.greatest("ni", "nj") * least - 1e-9)).select("i", "j").distinct()
-    both = met.join(whole.select(F.col("id").alias("i"), F.col("items").alias("a")), "i").join(whole.select(F.col("id").alias("j"), F.col("items").alias("b")), "j")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = both.select("i", "j", (common / (F.size("a") + F.size("b") - common)).alias("similarity"))
-    return alike.where(F.col("similarity") >= least - 1e-12)
+    rows = members.select("id", "item").where("id is not null")
+    rare = durable(rows.where("item is not null").groupBy("item").agg(F.count(F.lit(1)).alias("_n")))
+    # Any order of the items serves, so repeated rows need not be told apart to count them.
+    ranked_ = rows.join(F.broadcast(rare), "item", "left") if rare.count() <= BROADCAST_ITEMS else join_split(rows, rare, ["item"], "left")
+    sets = ranked_.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("item").isNotNull(), F.struct("_n", "item")))).alias("s"), F.max(F.col("item").isNull()).alias("odd"))
+    whole = durable(sets.select("id", F.transform("s", lambda x: x["item"]).alias("items"), "odd"))
+    grouped = whole.groupBy("items", "odd").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("members"))
+    grouped = durable(grouped)
+    classes = grouped.select(F.col("class").alias("id"), "items", (F.size("items") + F.col("odd").cast("long")).alias("n"), "members")
+    alike = durable(_alike_classes(classes, least))
+    # Members of a class in blocks, each pair of blocks a row.
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)).cast("int")
+    named = join_split(whole, grouped, ["items", "odd"]).select("class", "id", block.alias("block"))
+    blocks = durable(named.groupBy("class", "block").agg(F.collect_list("id").alias("ids")))
+    a, b = (blocks.select(F.col("class").alias(c), F.col("block").alias(f"b{c}"), F.col("ids").alias(f"ids{c}")) for c in "ij")
+    pairs = durable(alike.join(a, "i").join(b, "j").where("i <> j or bi <= bj"))
+    total = pairs.agg(F.sum(F.size("idsi").cast("long") * F.size("idsj"))).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PAIRS_A_TASK)
+    dealt = pairs.repartition(tasks, "i", "bi", "j", "bj").select(
+        F.when((F.col("i") == F.col("j")) & (F.col("bi") == F.col("bj")), True).otherwise(False).alias("same"),
+        (F.col("similarity") if digits is None else F.round("similarity", digits)).alias("similarity"), "idsi", "idsj",
+    )
+    each = dealt.select("same", "similarity", "idsj", F.explode("idsi").alias("x")).select("same", "similarity", "x", F.explode("idsj").alias("y"))
+    return each.where("not same or x < y").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "similarity")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -379,11 +379,11 @@ def ligand_smiles(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT a.id AS i, b.id AS j, count(*) AS common FROM m a JOIN m b ON a.item = b.item AND a.id < b.id GROUP BY a.id, b.id)
 SELECT i, j, round(common / (x.n + y.n - common), 6) AS similarity FROM c JOIN s x ON x.id = i JOIN s y ON y.id = j WHERE common / (x.n + y.n - common) >= 0.75""")
 def similar_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Orders with much the same shelves, through an index of their rarest items."""
+    """Orders with much the same shelves, through an index of combinations of their rarest items."""
     from lattisca.operators import similarity as M
 
     m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 90).cast("string").alias("item"))
-    return M.similar_sets(m, 0.75).withColumn("similarity", F.round("similarity", 6))
+    return M.similar_sets(m, 0.75, digits=6)
 
 
 @query("""WITH p AS (SELECT conv_id AS graph, a.turn AS a, b.turn AS b, 1.0 / (1 + b.turn - a.turn) AS s FROM conversations a JOIN conversations b USING (conv_id) WHERE a.turn < b.turn AND (a.turn + b.turn) % 3 <> 0),

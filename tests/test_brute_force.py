@@ -291,6 +291,45 @@ def test_similar_sets_are_those_of_the_full_join(spark):
         assert got == pytest.approx(want) and want
 
 
+def most_joined(spark, run):
+    """The most rows that a join made while ``run`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, out = store.executionsCount(), 0
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = store.executionsList()
+    for k in range(before, done.size()):
+        e = done.apply(k).executionId()
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for n in (nodes.apply(x) for x in range(nodes.size())):
+            if "Join" in n.name():
+                for m in (n.metrics().apply(x) for x in range(n.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        out = max(out, int(str(values.apply(m.accumulatorId())).replace(",", "")))
+    return out
+
+
+def test_similar_sets_meet_by_more_than_one_common_item(spark):
+    """Sets of few items in all: each item is in thousands of sets, most of which are not alike."""
+    rng = random.Random(8)
+    rows = [(i, f"x{x}") for i in range(4000) for x in rng.sample(range(24), rng.choice([5, 6, 7]))] + [(i, "y") for i in range(5000, 5600)]
+    m = spark.createDataFrame(rows, "id long, item string").repartition(4)
+    got, sets = [], {}
+    for i, x in rows:
+        sets.setdefault(i, set()).add(x)
+    joined = most_joined(spark, lambda: got.extend(tuple(r) for r in M.similar_sets(m, 0.75).collect()))
+    want = {(i, j) for i, j in itertools.combinations(range(4000), 2) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
+    assert len(got) == len({g[:2] for g in got}) and {g[:2] for g in got if g[0] < 5000} == want
+    assert sum(g[0] >= 5000 for g in got) == 600 * 599 // 2
+    assert 0 < joined < 20 * len(rows)
+
+
+def test_similar_sets_count_null_items_and_no_null_ids(spark):
+    rows = [(1, "a"), (1, "b"), (1, None), (2, "a"), (2, "b"), (2, None), (3, "a"), (3, "b"), (None, "a"), (None, "b"), (4, None), (5, None)]
+    m = spark.createDataFrame(rows, "id long, item string")
+    assert sorted((r.i, r.j, r.similarity) for r in M.similar_sets(m, 0.4).collect()) == [(1, 2, 0.5), (1, 3, 2 / 3), (2, 3, 2 / 3)]
+
+
 def many_members(spark, n=120_000):
     """Terms of so many items that the product of four counts is beyond 64 bits: two that halve the items across each other,
     one that is nearly the first, and one of the items without these."""
