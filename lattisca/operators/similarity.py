@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lattisca.operators.partition import linked_components
@@ -80,8 +80,8 @@ def _wanted(least: float, n: int, most: int) -> list[tuple[int, int, int, bool]]
     return out
 
 
-def _set_keys(classes: DataFrame, least: float) -> DataFrame:
-    """(id, n, key, larger). Sets of n <= m items that are alike have at least o = least * (n + m) / (1 + least) in common. In one
+def _set_keys(classes: DataFrame, least: float, as_larger: bool) -> DataFrame:
+    """(id, n, key) of each class as the larger or as the smaller set of a pair. Sets of n <= m items that are alike have at least o = least * (n + m) / (1 + least) in common. In one
     order of all items the l-th of these is among the first n - o + l of one and m - o + l of the other, so a combination of l
     of these is in both. The more items a key has, the fewer meet that are not alike; with l = o none do. Keys are hashes: what
     falls together is told apart on the sets."""
@@ -96,25 +96,23 @@ def _set_keys(classes: DataFrame, least: float) -> DataFrame:
             for n, m in set(zip(sizes.tolist(), long.tolist(), strict=True)):
                 at = np.flatnonzero((sizes == n) & (long == m))
                 items = values[starts[at][:, None] + np.arange(m)[None, :]]
-                for band, level, first, larger in _wanted(least, n, most):
+                for band, level, first in (k[:3] for k in _wanted(least, n, most) if k[3] == as_larger):
                     some = np.array(list(combinations(range(min(first, m)), level)), np.int64).reshape(-1, level)
                     key = np.full((len(at), len(some)), band, np.uint64)
                     for k in range(level):
                         key = (key ^ (key >> np.uint64(29))) * _MIX + items[:, some[:, k]]
                     key = (key ^ (key >> np.uint64(32))) * _MIX
                     of = pa.array(np.repeat(at, len(some)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(np.full(len(of), n, np.int64)), pa.array(key.ravel().view(np.int64)), pa.array(np.full(len(of), larger))], names=["id", "n", "key", "larger"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(np.full(len(of), n, np.int64)), pa.array(key.ravel().view(np.int64))], names=["id", "n", "key"])
 
     rows = classes.select("id", "n", F.transform("items", lambda x: F.xxhash64(x)).alias("h"))
     kind = classes.schema["id"].dataType
-    return rows.mapInArrow(run, StructType([StructField("id", kind), StructField("n", LongType()), StructField("key", LongType()), StructField("larger", BooleanType())]))
+    return rows.mapInArrow(run, StructType([StructField("id", kind), StructField("n", LongType()), StructField("key", LongType())]))
 
 
 def _alike_classes(classes: DataFrame, least: float) -> DataFrame:
     """(i, j, similarity) of classes; one of several members is alike to itself, but for a null item, which is never common."""
-    keys = durable(_set_keys(classes, least))
-    one = keys.where(~F.col("larger")).select("key", F.col("id").alias("i"), F.col("n").alias("ni"))
-    two = keys.where("larger").select("key", F.col("id").alias("j"), F.col("n").alias("nj"))
+    one, two = (_set_keys(classes, least, larger).select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}")) for c, larger in (("i", False), ("j", True)))
     met = one.join(two, "key").where((F.struct("ni", "i") < F.struct("nj", "j")) & (F.col("ni") >= F.col("nj") * least - 1e-9)).select("i", "j").distinct()
     a, b = (classes.select(F.col("id").alias(c), F.col("items").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ij")
     both = met.join(a, "i").join(b, "j").withColumn("common", F.size(F.array_intersect("si", "sj")))
