@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
+#: Seconds that pass at least before the driver's memory is given back again.
+GIVE_BACK_S = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,8 +102,35 @@ def join_split(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "i
     return rows.withColumn("_split", mark).join(keyed.withColumn("_split", mark), ["_split", *keys], how).drop("_split")
 
 
+_given_back = [0.0]
+
+
+def give_back(spark: SparkSession, wait: float = GIVE_BACK_S) -> bool:
+    """Gives the driver's free memory back to the machine, unless that was done in the last ``wait`` seconds; tells if it did.
+
+    A driver that plans many jobs in a row takes new heap for their remains, and what its compilers and threads have freed
+    stays in the native heap. The collection also lets Spark remove shuffle files of results that are gone.
+    """
+    if time.monotonic() - _given_back[0] < wait:
+        return False
+    gc.collect()  # first, as the JVM keeps what Python's objects stand for
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # other JVMs have no such command
+        beans = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        call = next(m for m in beans.getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+    _given_back[0] = time.monotonic()
+    return True
+
+
 class Scratch:
-    """Durable intermediate results of one operator, removed together when its result no longer reads them."""
+    """Durable intermediate results of one operator, removed together when its result no longer reads them. The driver's free
+    memory is given back meanwhile."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
@@ -106,6 +140,7 @@ class Scratch:
         file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
         if file.isDefined():
             self.paths.append(file.get())
+        give_back(self.spark)
         return out
 
     def drop(self, but: int = 0) -> None:

@@ -714,3 +714,34 @@ def test_language_fit_holds_its_table_once():
     tracemalloc.stop()
     assert peak < 1.5 * len(texts) * 4 * (1 << language.BITS)
     assert sum(model.predict(t)[0] == n for t, n in zip(texts, names, strict=True)) > 0.95 * len(texts)
+
+
+def test_near_duplicates_give_driver_memory_back(spark):
+    """What lies unused in the JVM's old heap and in Python's native heap when a search begins is gone when it ends."""
+    import ctypes
+    import gc
+
+    from lattisca.llm import common
+
+    jvm, held = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.Object, 8)
+    ref = jvm.java.lang.ref.WeakReference(held)
+    for _ in range(3):
+        jvm.System.gc()  # ``held`` is old now
+    del held
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_void_p]
+    blocks = [libc.malloc(4000) for _ in range(20_000)]
+    for b in blocks:
+        ctypes.memset(b, 1, 4000)
+    for b in blocks[:-1]:  # the last one holds the heap's top
+        libc.free(b)
+    resident = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1])  # noqa: E731, SIM115
+    before = resident()
+    common._given_back[0] = float("-inf")
+    found = near_dup.near_duplicates(frame(spark, ["a b c d e f g", "a b c d e f g", "other words are here"]), words=2)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {0: 0, 1: 0, 2: 2}
+    assert ref.get() is None
+    assert resident() < before - 60_000
+    libc.free(blocks[-1])
+    assert not common.give_back(spark, wait=1000)
