@@ -10,7 +10,9 @@ import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +21,8 @@ from pyspark.sql.window import Window
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 #: Seconds that pass at least before the driver's memory is given back again.
 GIVE_BACK_S = 5
+#: And before the executors' is: a collection on each of them.
+EXECUTORS_S = 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,10 +76,21 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 def hold(owner: str, drop: Callable[[], None]) -> None:
     """A worker process outlives its tasks, and so does what operators keep in it. One operator's things stay at a time:
-    when another comes, ``drop`` of those before is called."""
-    for name in [n for n in _HELD if n != owner]:
+    when another comes, ``drop`` of those before is called. What is free then goes back to the machine."""
+    others = [n for n in _HELD if n != owner]
+    for name in others:
         _HELD.pop(name)()
+    if others:
+        gc.collect()
     _HELD.setdefault(owner, drop)
+    trim()
+
+
+def trim() -> None:
+    """Gives this process's free native memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
 
 
 def hash_unit(key: Column) -> Column:
@@ -103,10 +118,22 @@ def join_split(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "i
 
 
 _given_back = [0.0]
+_collected = [float("-inf")]
+
+
+def collect_on_executors(spark: SparkSession) -> None:
+    """A full collection on each executor, which takes less heap afterwards and no classes of plans that are gone. Executors fill
+    all of their heap before they collect by themselves, and their Python workers need memory beside it."""
+    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # without the driver
+    if executors > 0:
+        with contextlib.suppress(PySparkException):  # some clusters allow no Java methods
+            # Between jobs, tasks are dealt out one to an executor.
+            spark.range(0, executors, 1, executors).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).collect()
 
 
 def give_back(spark: SparkSession, wait: float = GIVE_BACK_S) -> bool:
     """Gives the driver's free memory back to the machine, unless that was done in the last ``wait`` seconds; tells if it did.
+    So is the executors', every EXECUTORS_S seconds at most.
 
     A driver that plans many jobs in a row takes new heap for their remains, and what its compilers and threads have freed
     stays in the native heap. The collection also lets Spark remove shuffle files of results that are gone.
@@ -122,15 +149,17 @@ def give_back(spark: SparkSession, wait: float = GIVE_BACK_S) -> bool:
         args = gateway.new_array(jvm.Object, 4)
         args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
         call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    trim()
+    if time.monotonic() - _collected[0] >= EXECUTORS_S:
+        collect_on_executors(spark)
+        _collected[0] = time.monotonic()
     _given_back[0] = time.monotonic()
     return True
 
 
 class Scratch:
-    """Durable intermediate results of one operator, removed together when its result no longer reads them. The driver's free
-    memory is given back meanwhile."""
+    """Durable intermediate results of one operator, removed together when its result no longer reads them. The driver's and the
+    executors' free memory is given back meanwhile."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import hash_unit, smallest_hashes, table, with_text
+from lattisca.llm.common import hash_unit, hold, smallest_hashes, table, with_text
 
 #: The most labelled texts of one language that the machines are fitted on: those with the smallest hash of their id.
 PER_LANGUAGE = 400
@@ -177,6 +177,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text",
     rows, kept = with_text(docs, text, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("language", lambda: None)
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*keep, "lang_pred", "score"])

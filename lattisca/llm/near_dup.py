@@ -136,6 +136,7 @@ def _pairs_between(brief: np.ndarray, comp: np.ndarray | None, side: np.ndarray
     across where there are two sides)."""
     across = side is not None and 0 < side.sum() < len(side)
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side)) if across else (np.arange(len(brief)),) * 2
+    left, right = left.astype(np.int32), right.astype(np.int32)
     other = brief[right]
     one, two, est = [], [], []
     for i in range(0, len(left), 128):
@@ -149,9 +150,9 @@ def _pairs_between(brief: np.ndarray, comp: np.ndarray | None, side: np.ndarray
         one.append(at[a][up])
         two.append(right[b][up])
         est.append(same[a, b][up])
-    one, two, est = np.concatenate(one), np.concatenate(two), np.concatenate(est) / brief.shape[1]
+    one, two, est = np.concatenate(one), np.concatenate(two), np.concatenate(est)
     order = np.argsort(-est, kind="stable")
-    return one[order], two[order], est[order]
+    return one[order], two[order], est[order] / brief.shape[1]
 
 
 def _candidates_of(ids: np.ndarray, brief: np.ndarray, comp: np.ndarray | None) -> list[tuple[int, int]]:
@@ -195,6 +196,7 @@ def _by_region(dealt: DataFrame, of: Callable[[pa.Table], list[tuple[int, int]]]
     """Pairs (a, b) that ``of`` finds in each region. Rows come dealt out and sorted by region; one region is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dup", _WORDS.clear)
         held: list[pa.RecordBatch] = []
 
         def pairs(rows: pa.Table) -> pa.RecordBatch:
@@ -300,7 +302,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 def _forest(one: np.ndarray, two: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
     """Of links between places, some that join all components that they can, each round one for each component."""
-    label = np.unique(comp, return_inverse=True)[1]
+    label = np.unique(comp, return_inverse=True)[1].astype(np.int32)
     out = []
     while True:
         a, b = label[one], label[two]
@@ -308,8 +310,11 @@ def _forest(one: np.ndarray, two: np.ndarray, comp: np.ndarray) -> list[tuple[in
         one, two, a, b = one[apart], two[apart], a[apart], b[apart]
         if not len(one):
             return out
-        first = np.unique(np.concatenate([a, b]), return_index=True)[1] % len(one)
-        parent = np.arange(label.max() + 1)
+        parent = np.arange(label.max() + 1, dtype=np.int32)
+        first = np.full(len(parent), -1)  # a component's first link; the last place that is put counts
+        for ends in (b, a):
+            first[ends[::-1]] = np.arange(len(one) - 1, -1, -1)
+        first = first[first >= 0]
 
         def find(x: int) -> int:
             while parent[x] != x:  # noqa: B023
@@ -333,13 +338,19 @@ def _joining_links(rows: pa.Table, percent: int, kind: type) -> list[tuple[int,
     sets = [np.frombuffer(s, kind) for s in rows.column("s").to_pylist()]
     one, two, _ = _pairs_between(_brief(rows), comp, side)
     if len(one) > FEW_PAIRS * len(ids):
+        del one, two, _
         across = 0 < side.sum() < len(side)
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side)) if across else (np.arange(len(ids)),) * 2
+        left, right = (x.astype(np.int32) for x in ((np.flatnonzero(side == 0), np.flatnonzero(side)) if across else (np.arange(len(ids)),) * 2))
         lost = sizes - np.array([len(s) for s in sets])
-        common = _common(sets, left, right) + np.minimum(lost[left][:, None], lost[right][None, :])
-        linked = (100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)) & (comp[left][:, None] != comp[right][None, :])
+        common = _common(sets, left, right)
+        linked = np.empty(common.shape, bool)
+        for k in range(0, len(left), 128):
+            at = left[k : k + 128]
+            most = common[k : k + 128] + np.minimum(lost[at][:, None], lost[right][None, :])
+            linked[k : k + 128] = (100 * most >= percent * (sizes[at][:, None] + sizes[right][None, :] - most)) & (comp[at][:, None] != comp[right][None, :])
         i, j = np.nonzero(linked if across else np.triu(linked, 1))
         one, two = left[i], right[j]
+        del common, linked, i, j
     else:
         ok = np.array([_may_link(sets[i], sets[j], int(sizes[i]), int(sizes[j]), percent) for i, j in zip(one.tolist(), two.tolist(), strict=True)], bool)
         one, two = one[ok], two[ok]
@@ -393,6 +404,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: in
     both = pairs.join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("near_dup", _WORDS.clear)
         for batch in batches:
             ok = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))

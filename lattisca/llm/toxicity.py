@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattisca.llm.common import hash_unit, smallest_hashes, table, with_text
+from lattisca.llm.common import hash_unit, hold, smallest_hashes, table, with_text
 
 #: The most labelled texts of one label that are learned from: those with the smallest hash of their id.
 PER_LABEL = 2000
@@ -310,6 +310,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     rows, kept = with_text(docs, text, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", lambda: None)
         for batch in batches:
             scores = [model.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[*keep, "score", "predicted"])

@@ -745,3 +745,77 @@ def test_near_duplicates_give_driver_memory_back(spark):
     assert resident() < before - 60_000
     libc.free(blocks[-1])
     assert not common.give_back(spark, wait=1000)
+
+
+def test_worker_gives_memory_back_when_another_operator_comes():
+    """What an operator has kept is gone from the process once another one's task begins."""
+    import ctypes
+
+    from lattisca.llm import common
+
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_void_p]
+    blocks = [libc.malloc(4000) for _ in range(20_000)]
+    for b in blocks:
+        ctypes.memset(b, 1, 4000)
+
+    def drop():  # all but the last, which holds the heap's top
+        for b in blocks[:-1]:
+            libc.free(b)
+
+    resident = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1])  # noqa: E731, SIM115
+    common.hold("one of the test", drop)
+    before = resident()
+    common.hold("another of the test", lambda: None)
+    assert resident() < before - 60_000
+    libc.free(blocks[-1])
+
+
+def test_executors_give_heap_back():
+    """An executor that has filled its heap has less of it once memory is given back."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import glob, re
+from pathlib import Path
+from pyspark.sql import SparkSession, functions as F
+from lattisca.llm import common
+conf = {"spark.master": "local-cluster[2,1,1000]", "spark.executor.memory": "700m", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.host": "127.0.0.1"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+app = spark.sparkContext.applicationId
+def resident():
+    found = [p for p in glob.glob("/proc/[0-9]*") if app.encode() in (c := Path(p, "cmdline").read_bytes()) and b"CoarseGrainedExecutorBackend" in c]
+    return sorted(int(re.search(r"VmRSS:\\\\s+(\\\\d+)", Path(p, "status").read_text())[1]) for p in found)
+rows = spark.range(0, 6_000_000, 1, 4).select((F.col("id") * 7919 % 3_000_001).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("s"))
+for _ in range(2):
+    rows.groupBy("k").agg(F.max("s")).sort("k").write.format("noop").mode("overwrite").save()
+before = resident()
+common.give_back(spark, wait=0)
+print("FOUND", *before, *resident())
+spark.stop()
+""".replace("\\\\", "\\")
+    said = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=300)
+    before, after = np.array(said.stdout.rpartition("FOUND")[2].split(), int).reshape(2, 2)
+    assert (after < before - 100_000).all()
+
+
+def test_cell_of_many_pairs_is_counted_in_little_memory():
+    """All pairs of a full cell are looked at, but tables of all pairs are no wider than they must be."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**31, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 2**31, 2, dtype=np.uint64)])).astype(np.uint32) for _ in range(2048)]
+    sets[7] = np.sort(rng.integers(0, 2**31, 42, dtype=np.uint64)).astype(np.uint32)
+    n = len(sets)
+    rows = pa.table({"id": range(n), "brief": [bytes(128)] * n, "comp": range(n), "side": [0] * n, "n": [len(s) for s in sets], "s": [s.tobytes() for s in sets]})
+    tracemalloc.start()
+    found = near_dup._joining_links(rows, 80, np.uint32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == n - 2 and all(7 not in p for p in found)
+    assert peak < 160e6
